@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import encode, pack
+from quirefold.llm import clean, encode, pack
 from quirefold.session import table as t
 
 
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    """The site style tree over the whole table; p3_found can't come from it, as it prunes what p3_found must list."""
+    return clean.prune_sites(t(spark, d, "documents"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return clean.found_structure(t(spark, d, "documents"))
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean.clean_texts(t(spark, d, "documents"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(t(spark, d, "documents"))
 
@@ -22,4 +35,4 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_ids, p9_packed, p9_fill)}
+    return {f.__name__: f for f in (p3_method, p3_found, p3_clean, p8_ids, p9_packed, p9_fill)}
