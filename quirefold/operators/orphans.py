@@ -2,7 +2,7 @@
 
 Method: tagged parent keys, deletions and child keys are united in long form and grouped by key space and key with map-side
 combining, so that a key that holds a third of all rows arrives as one partial row a task; groups that have no sound parent
-are kept, and only the children that name one of these come back, over a salted join. Counts a table and period are sums
+are kept, and only the children that name one of these (told by a bounded bit filter) come back, over a salted join. Counts a table and period are sums
 over that result.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import norm_key
+from quirefold.operators.keyfilter import key_filter
+from quirefold.session import cut
 
 #: Copies of each unsound key in the join with its children: a key named by a third of all rows is met by this many tasks.
 SALTS = 8
@@ -41,9 +43,10 @@ def find_orphans(users: DataFrame, posts: DataFrame, comments: DataFrame, delete
     it is sound if one of them has it, else the milder of both findings counts (late, deleted, missing). Repeated rows count
     once, columns beyond those named here are not read, empty tables give no rows.
     """
-    u = counted_rows(users)
-    p = counted_rows(posts, author_id=norm_key(F.col("author_id")))
-    c = counted_rows(comments, user=norm_key(F.col("user")), pid=norm_key(F.col("parent.id")), ptype=norm_key(F.col("parent.type")))
+    # written once, read as parents and as children
+    u = cut(counted_rows(users), "users")
+    p = cut(counted_rows(posts, author_id=norm_key(F.col("author_id"))), "posts")
+    c = cut(counted_rows(comments, user=norm_key(F.col("user")), pid=norm_key(F.col("parent.id")), ptype=norm_key(F.col("parent.type"))), "comments")
 
     ts = "timestamp_ntz"
     nil = lambda kind: F.lit(None).cast(kind)
@@ -106,8 +109,10 @@ def find_orphans(users: DataFrame, posts: DataFrame, comments: DataFrame, delete
     unsound = groups.where(
         F.when(F.col("space") == "users", status("users", least) > 0).otherwise((status("posts", least) > 0) | (status("comments", least) > 0))
     )
+    unsound = cut(unsound, "unsound")
+    named = key_filter(unsound, ["space", "key"])
     salted = unsound.select("space", F.col("key").alias("ref"), *[f"{t}_{x}" for t in tags for x in ("has", "created", "first", "gone")], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = children.withColumn("salt", F.pmod(F.xxhash64("table_name", "record_id", "field"), F.lit(salts)).cast("int")).join(salted, ["space", "ref", "salt"])
+    met = children.where(named(F.col("space"), F.col("ref"))).withColumn("salt", F.pmod(F.xxhash64("table_name", "record_id", "field"), F.lit(salts)).cast("int")).join(salted, ["space", "ref", "salt"])
     own = F.col("own_at")
     code = (
         F.when(F.col("want") == "users", status("users", own))
