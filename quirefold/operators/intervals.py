@@ -57,11 +57,12 @@ def merge_intervals(*parts: DataFrame) -> DataFrame:
 
 
 def rows_in(df: DataFrame, col: str, intervals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of df whose number lies in an interval; intervals are disjoint, so each row is met once. Within a block both
-    sides are bounded by its width, so no task grows with the data."""
-    g = intervals.select(F.col("block").alias("_b"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    mine = F.floor(F.col(col) / block).cast("long")
-    return df.join(g, (mine == F.col("_b")) & (F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi"))).drop("_b", "_lo", "_hi")
+    """The rows of df whose number lies in one of the disjoint intervals. Rows and interval starts are sorted together within a
+    block, and the furthest end so far tells whether a row is covered: no pairs, and no task larger than its blocks."""
+    rows = df.withColumns({"_b": F.floor(F.col(col) / block).cast("long"), "_hi": F.lit(None).cast("long"), "_row": F.lit(True)})
+    starts = intervals.select(F.col("block").alias("_b"), F.col("lo").cast(df.schema[col].dataType).alias(col), F.col("hi").alias("_hi"), F.lit(False).alias("_row"))
+    w = Window.partitionBy("_b").orderBy(col, "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.unionByName(starts, allowMissingColumns=True).withColumn("_hi", F.max("_hi").over(w)).where(F.col("_row") & (F.col("_hi") >= F.col(col))).drop("_b", "_hi", "_row")
 
 
 def succeeded(runs: DataFrame) -> DataFrame:
