@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import clean, encode, pack
+from quirefold.llm import clean, encode, pack, pii
 from quirefold.session import table as t
 
 
@@ -34,5 +34,13 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.fill_report(p9_packed(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(t(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_texts(t(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_method, p3_found, p3_clean, p8_ids, p9_packed, p9_fill)}
+    return {f.__name__: f for f in (p3_method, p3_found, p3_clean, p8_ids, p9_packed, p9_fill, p10_found, p10_redacted)}
