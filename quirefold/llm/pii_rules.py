@@ -106,7 +106,7 @@ ADDRESS = regex.compile(
     | (?:\p{{Lu}}[\p{{L}}\p{{M}}]+[\ -])(?:Allee|Straße|Str\.|Gasse|Weg|Platz|Ring)\ \d+\ ?\p{{Ll}}?\b
     | \d+(?:\ (?:bis|ter|quater))?,?\ (?:rue|bd|boulevard|avenue|av\.|chemin|impasse|place|quai|allée|route|cours|passage|square)\ (?:d[eu]s?\ |de\ l[a'’]\s?|d['’]|l['’])*\p{{Lu}}[\p{{L}}\p{{M}}]+
     | (?:Calle|C/|C\.|Avenida|Avda\.?|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Carrera|Ronda|Travesía)\ (?:de\ |del\ |las?\ |los\ |el\ )*\p{{Lu}}[\p{{L}}\p{{M}}]+(?:\ (?:de\ |del\ |la\ |los\ )*\p{{Lu}}[\p{{L}}\p{{M}}]+)*,?\ (?:n\.?º\ ?|núm\.\ ?|número\ )?\d+
-    )""",
+    )(?:,\ (?:Apt|Apartment|Suite|Unit|Flat)\.?\ \#?\w+|,\ \d+[ºª](?:\ \p{{Lu}}\b)?|\ (?:Vieux|Grand|Petit)\ {_CITY}|,?\ \d{{5}}\ {_CITY}|,\ \p{{Lu}}{{2}}\ \d{{5}}|,?\ \p{{Lu}}{{1,2}}\d{{1,2}}\ \d\p{{Lu}}{{2}}\b|,\ {_CITY}(?![\p{{L}}:'’]))*""",
     regex.X,
 )
 _G = rf"(?P<a>{_FULL})"
