@@ -64,3 +64,7 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_outputs, p4_found, p4_report, p5_found, p6_found, p6_alternatives, p6_table, p7_found, p7_paths, p7_descendants)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
