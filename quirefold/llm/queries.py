@@ -44,3 +44,8 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p3_method, p3_found, p3_clean, p8_ids, p9_packed, p9_fill, p10_found, p10_redacted)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """None of these is plain SQL: they are tested against the tokenizer itself, brute force and labelled fixtures."""
+    return {}
