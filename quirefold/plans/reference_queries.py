@@ -266,7 +266,7 @@ def ri_restrict(spark, d):
     return integrity.find_references(_shop("error", "error"), _shop_tables(spark, d), _five(spark)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'customers' AS collection, id FROM (VALUES ('5'), ('7')) AS x(id) UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey IN (5, 7) UNION ALL SELECT 'items', l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (5, 7))")
+@query("SELECT 'customers' AS collection, id FROM (VALUES ('5'), ('7')) AS x(id) UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey IN (5, 7) UNION ALL SELECT DISTINCT 'items', l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (5, 7))")
 def ri_cascade(spark, d):
     return integrity.plan_delete(_shop("cascade", "cascade"), _shop_tables(spark, d), _five(spark)).deleted
 
@@ -282,7 +282,7 @@ def ri_nullify_table(spark, d):
     return integrity.nullify(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", gone)
 
 
-@query("SELECT 'items' AS collection, l_orderkey || '-' || l_linenumber AS id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (5, 7))")
+@query("SELECT DISTINCT 'items' AS collection, l_orderkey || '-' || l_linenumber AS id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (5, 7))")
 def ri_archive(spark, d):
     return integrity.plan_delete(_shop("cascade", "archive"), _shop_tables(spark, d), _five(spark)).archived
 
@@ -420,15 +420,15 @@ _view("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FRO
 _view("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", "customer", "supplier")
 _view("set_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
 _view("set_intersect", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'", "orders")
-_view("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01 00:00:00'", "customer", "orders")
+_view("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000", "customer", "orders")
 _view("order_nulls", "SELECT doc_id, lang FROM documents ORDER BY lang ASC NULLS FIRST, doc_id LIMIT 25", "documents")
 _view("limit_offset", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 10", "customer")
 _view("with_clause", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE total > 500000) SELECT c.c_name, round(t.total, 2) AS total FROM top t JOIN customer c ON c.c_custkey = t.o_custkey", "orders", "customer")
 _view("derived_table", "SELECT x.c_nationkey, max(x.n) AS most FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) x GROUP BY x.c_nationkey", "customer")
-_view("scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM part)", "part")
+_view("scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.04 FROM part)", "part")
 _view("correlated_subquery", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", "orders")
 _view("string_functions", "SELECT p_partkey, lower(p_name) AS lo, upper(p_brand) AS up, CAST(length(p_type) AS BIGINT) AS n, substring(p_name, 2, 5) AS sub, replace(p_name, 'a', '*') AS rep, CAST(instr(p_name, 'e') AS BIGINT) AS at, trim('  ' || p_brand || ' ') AS tr, p_brand || '/' || p_type AS both FROM part", "part")
-_view("like_any_case", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%STEEL%' OR p_name ILIKE 'a%'", "part")
+_view("like_any_case", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%econ%' OR p_name ILIKE 'RED%'", "part")
 _view("date_functions", "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, date_trunc('month', o_orderdate) AS first, o_orderdate + INTERVAL '1' DAY AS next FROM orders", "orders")
 _view("math_functions", "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, round(sqrt(abs(c_acctbal)), 6) AS s, c_custkey % 7 AS m FROM customer", "customer", oracle="SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, round(sqrt(abs(c_acctbal)), 6) AS s, c_custkey % 7 AS m FROM customer")
 _view("conditional_functions", "SELECT doc_id, coalesce(lang, source, '?') AS c, nullif(lang, 'en') AS n, CASE WHEN n_chars > 1000 THEN 'long' WHEN n_chars IS NULL THEN 'none' ELSE 'short' END AS size FROM documents", "documents")
