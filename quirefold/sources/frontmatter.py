@@ -88,7 +88,7 @@ def remove(path: str, root: str) -> None:
 
 def head_and_body(raw: Column) -> tuple[Column, Column]:
     """split as columns, for texts with both fences."""
-    s = F.regexp_replace(F.ltrim(raw), "\r\n", "\n")
+    s = F.regexp_replace(F.ltrim(raw, F.lit(" \t\r\n\ufeff")), "\r\n", "\n")
     fenced = s.rlike(r"(?s)^---\n(.*?\n)?---(\n|$)")
     head = F.when(fenced, F.regexp_extract(s, r"(?s)^---\n(.*?\n)?---(\n|$)", 1)).when(s.rlike(r"^---(\n|$)"), F.substring(s, 5, 1 << 30)).otherwise("")
     body = F.when(fenced, F.btrim(F.regexp_replace(s, r"(?s)^---\n(.*?\n)?---(\n|$)", ""), F.lit("\n"))).when(s.rlike(r"^---(\n|$)"), F.lit(None)).otherwise(raw)
