@@ -94,7 +94,7 @@ class Lexicon:
         """The rank of each word, -1 where it is not in the lexicon; all words walk at once."""
         n = len(words)
         out = np.full(n, -1, np.int64)
-        if not n or not len(self.keys):
+        if not n:
             return out
         size = np.fromiter(map(len, words), np.int64, n)
         flat = np.frombuffer(b"".join(words), np.uint8)
@@ -108,6 +108,8 @@ class Lexicon:
             alive, state, rank = alive[~ended], state[~ended], rank[~ended]
             if not len(alive):
                 break
+            if not len(self.keys):  # a lexicon of no word, or of the empty one
+                break
             key = state * 256 + flat[at[alive] + step]
             i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[i] == key
