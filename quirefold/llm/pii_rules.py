@@ -14,8 +14,8 @@ import regex
 KINDS = ("email", "phone", "identity_number", "street_address", "name")
 
 #: Tags that stand inside sentences, and tags that end lines.
-_INLINE = "a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|s|small|span|strike|strong|sub|sup|tt|u|var|ref|nowiki"
-_LINES = "br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|pre|html|body|head|title|blockquote|hr"
+_INLINE = "a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|s|small|span|strike|strong|sub|sup|tt|u|var"
+_LINES = "br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|pre|html|body|head|title|blockquote|hr|ref|nowiki"
 
 _MARKUP = regex.compile(
     rf"""(?P<line>\[\[Category:[^\[\]\n]*\]\]|</?(?:{_LINES})\b(?:[^<>"']|"[^"]*"|'[^']*')*/?>)|(?P<tag></?(?:{_INLINE})\b(?:[^<>"']|"[^"]*"|'[^']*')*>)"""
@@ -63,7 +63,7 @@ def shadow(text: str) -> tuple[str, np.ndarray | None]:
 
 _W = r"\p{Lu}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)?(?:-\p{Lu}[\p{L}\p{M}]*(?:['’]\p{L}+)?)*"
 _I = r"\p{Lu}\."
-_FULL = rf"(?:{_W},\ {_W}(?:\ {_I})?|{_W}(?:\ {_I})?\ {_W}(?:\ {_W})?|{_W}\ {_I}|{_I}(?:\ {_I})?\ {_W})"
+_FULL = rf"(?:{_W},\ {_W}(?:\ {_I})?|{_W}(?:\ {_I})?\ {_W}|{_W}\ {_I}|{_I}(?:\ {_I})?\ {_W})"
 _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Mx|Herr|Frau|Hr|Fr|Sr|Sra|Mme|M|Don|Doña|Señora?|Monsieur|Madame)\b\.?\s+){0,2}"
 _NL = r"\s*\n\s*"
 

@@ -20,7 +20,7 @@ HELD = 1500
 HIDDEN = 16
 T = 112
 BATCH = 192
-STEPS = 3600
+STEPS = 3000
 
 
 def labelled(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, list]]:
