@@ -150,6 +150,16 @@ class Views:
         for n, df in self.cached.items():
             df.write.mode("overwrite").parquet(f"{path}/{n}")
 
+    def load(self, path: str) -> list[str]:
+        """Keep the rows that save wrote, for views that have none yet; which these are."""
+        out = []
+        for n, c in self.compiled.items():
+            at = f"{path}/{n}"
+            if not c.template and n not in self.cached and os.path.exists(os.path.join(at.removeprefix("file://"), "_SUCCESS")):
+                self.cached[n] = self.spark.read.parquet(at)
+                out.append(n)
+        return out
+
     def subscribe(self, name: str, f: Callable[[str, DataFrame], None]) -> int:
         self.get(name)
         n = max(self.listeners, default=0) + 1
