@@ -7,7 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,9 +244,12 @@ def unused_path(path: str, taken) -> str:
 
 
 def conflict_suffix(df: DataFrame, path: str, order: list[str], out: str = "path") -> DataFrame:
-    """df with rows of one path told apart by -2, -3 and so on, in the given order."""
-    n = F.row_number().over(Window.partitionBy(path).orderBy(*order))
-    return df.withColumn(out, F.when(n == 1, F.col(path)).otherwise(F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("-"), n.cast("string"), F.regexp_extract(path, r"\.[^./]*$", 0))))
+    """df with rows of one path told apart by -2, -3 and so on, in the given order. A path that a third of all rows render to is
+    numbered by many tasks."""
+    from quirefold.operators.sorted_scan import number
+
+    n = F.col("_no")
+    return number(df, [path], order, "_no").withColumn(out, F.when(n == 1, F.col(path)).otherwise(F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("-"), n.cast("string"), F.regexp_extract(path, r"\.[^./]*$", 0)))).drop("_no")
 
 
 def route(path: str, bases: dict[str, str]) -> str | None:

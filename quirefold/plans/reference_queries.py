@@ -445,12 +445,11 @@ def group_concat(spark, d):
 
 @query("SELECT event_id, (SELECT max(ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts) AS last_view FROM events a WHERE event_type = 'click'")
 def asof_join(spark, d):
-    """The latest view at or before each click of a user: one pass over both sides sorted together, no pairs."""
-    from pyspark.sql import Window
+    """The latest view at or before each click of a user: one scan of both sides sorted together, no pairs, no task per user."""
+    from quirefold.operators.sorted_scan import as_of
 
-    e = t(spark, d, "events").where("event_type IN ('view', 'click')").select("event_id", "user_id", "ts", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return e.withColumn("last_view", F.max(F.when(F.col("event_type") == "view", F.col("ts"))).over(w)).where("event_type = 'click'").select("event_id", "last_view")
+    e = t(spark, d, "events").where("event_type IN ('view', 'click')").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "view", F.col("ts")).alias("viewed"), (F.col("event_type") == "click").alias("ask"))
+    return as_of(e, ["user_id"], "ts", "viewed", "last_view").where("ask").select("event_id", "last_view")
 
 
 @query("SELECT post_id, tag FROM (SELECT id AS post_id, unnest(tags) AS tag FROM posts WHERE tags IS NOT NULL)")
