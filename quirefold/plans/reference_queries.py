@@ -276,10 +276,10 @@ def ri_nullify(spark, d):
     return integrity.plan_delete(_shop("nullify", "error"), _shop_tables(spark, d), _five(spark)).nullified.select("collection", "field", "id")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey NOT IN (5, 7) THEN o_custkey END AS o_custkey FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_custkey NOT IN (5, 7) THEN CAST(o_custkey AS VARCHAR) END AS o_custkey FROM orders")
 def ri_nullify_table(spark, d):
-    gone = spark.createDataFrame([(5,), (7,)], "id long")
-    return integrity.nullify(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", gone)
+    gone = spark.createDataFrame([("5",), ("7",)], "id string")
+    return integrity.nullify(t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey")), "o_custkey", gone)
 
 
 @query("SELECT DISTINCT 'items' AS collection, l_orderkey || '-' || l_linenumber AS id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (5, 7))")
@@ -401,8 +401,8 @@ def migrate_backfill(spark, d):
 # -- SQL that views pass through ----------------------------------------------------------------------------------------------
 
 _view("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey", "customer", "orders")
-_view("join_full", "SELECT coalesce(a.k, b.k) AS k, a.n AS an, b.n AS bn FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 5 GROUP BY 1) b ON a.k = b.k", "customer", "supplier")
-_view("join_right", "SELECT n.n_name, s.s_suppkey FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 0", "supplier", "nation")
+_view("join_full", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS an, coalesce(b.n, 0) AS bn FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 5 GROUP BY 1) b ON a.k = b.k", "customer", "supplier")
+_view("join_right", "SELECT n.n_name, coalesce(s.s_suppkey, -1) AS s_suppkey FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 0", "supplier", "nation")
 _view("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", "customer", "orders")
 _view("join_anti", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000 AND o_custkey IS NOT NULL)", "customer", "orders")
 _view("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
@@ -411,10 +411,10 @@ _view("join_range", "SELECT p.p_partkey, b.band FROM part p JOIN (VALUES (0, 10,
 _view("group_having", "SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY o_custkey HAVING count(*) > 12", "orders")
 _view("sum_round", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty, min(l_shipdate) AS first_ship, max(l_tax) AS max_tax, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus", "lineitem")
 _view("distinct_rows", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer", "customer")
-_view("window_rank_lag", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rk, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders", "orders")
+_view("window_rank_lag", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rk, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), -1) AS before FROM orders", "orders")
 _view("window_frame", "SELECT event_id, count(*) OVER w AS n3, round(sum(value) OVER w, 6) AS s3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", "events")
 _view("window_ntile", "SELECT p_partkey, CAST(ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS BIGINT) AS q, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS dr, first_value(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS first_part FROM part", "part")
-_view("cube_counts", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY CUBE (c_nationkey, c_mktsegment)", "customer")
+_view("cube_counts", "SELECT coalesce(c_nationkey, -1) AS nation, coalesce(c_mktsegment, 'all') AS segment, count(*) AS n FROM customer GROUP BY CUBE (c_nationkey, c_mktsegment)", "customer")
 _view("rollup_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", "orders")
 _view("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", "orders")
 _view("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", "customer", "supplier")
