@@ -61,5 +61,15 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def share_file(spark: SparkSession, path: str) -> str:
+    """Move a file of the driver to the shared folder and have every executor fetch it from there; the name it goes by."""
+    name = path.rsplit("/", 1)[-1]
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.copyFromLocalFile(True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), at)
+    spark.sparkContext.addFile(at.toString())
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
