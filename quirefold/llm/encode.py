@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import lexicon
+from quirefold.session import share_file
 
 #: Where the vocabulary files of public tokenizers lie; on a cluster, the same path on every machine.
 TOKENIZERS = os.environ.get("QUIREFOLD_TOKENIZERS", "/opt/tokenizers")
@@ -75,10 +76,9 @@ def build_lexicon(texts: DataFrame, tokenizers: str = TOKENIZERS, max_words: int
     enc = merger(tokenizers)
     words = {bytes(r["word"]): enc.encode_ordinary(bytes(r["word"]).decode()) for r in top}
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
-    at = os.path.join(tempfile.mkdtemp(prefix="quirefold-lex-"), name)  # only until addFile has copied it to the driver's file server
-    lexicon.save(lexicon.build(words), at)
-    spark.sparkContext.addFile(at)
-    return name
+    with tempfile.TemporaryDirectory() as d:
+        lexicon.save(lexicon.build(words), os.path.join(d, name))
+        return share_file(spark, os.path.join(d, name))
 
 
 @lru_cache(2)
