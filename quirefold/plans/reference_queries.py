@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.functions import paths
 from quirefold.operators import integrity, merge, validate
@@ -480,6 +482,56 @@ def windowed_counts(spark, d):
     return counts(t(spark, d, "events"), "ts", "1 day", ["event_type"], "2 days").drop("end")
 
 
+@query("SELECT id, modified_at, name, role, email FROM users")
+def frontmatter_roundtrip(spark, d):
+    """Rows written as documents with front matter, and read back from their texts."""
+    @F.pandas_udf(T.StringType())
+    def write(name: pd.Series, role: pd.Series, email: pd.Series) -> pd.Series:
+        return pd.Series([frontmatter.write({"name": n, "role": r, "email": e}, "body") for n, r, e in zip(name, role, email)])
+
+    u = t(spark, d, "users").select("id", "modified_at", write("name", "role", "email").alias("raw"))
+    v = u.select("id", "modified_at", F.from_json(frontmatter.parser("md")("raw").getField("data_json"), "name string, role string, email string").alias("v"))
+    return v.select("id", "modified_at", "v.name", "v.role", "v.email")
+
+
+@query("SELECT doc_id, sha256(content_text) AS hash FROM documents WHERE content_text IS NOT NULL")
+def content_hash(spark, d):
+    return t(spark, d, "documents").where("content_text IS NOT NULL").select("doc_id", F.sha2("content_text", 256).alias("hash"))
+
+
+@query("SELECT event_id, event_type AS kind, CASE WHEN event_type = 'click' THEN user_id ELSE -1 END AS user_id, CASE WHEN event_type = 'view' THEN value ELSE -1 END AS value FROM events WHERE event_type IN ('click', 'view')")
+def record_variants(spark, d):
+    """A discriminated union of JSON records: each variant read with its own fields."""
+    e = t(spark, d, "events").select("event_id", F.to_json(F.struct("event_type", "user_id", "value")).alias("data_json"))
+    base = T._parse_datatype_string("event_type string")
+    got = frontmatter.records(e, "event_type", {"click": T._parse_datatype_string("user_id long"), "view": T._parse_datatype_string("value double")}, base)
+    return got["view"].select("event_id", F.col("event_type").alias("kind"), F.lit(-1).cast("long").alias("user_id"), "value").unionByName(got["click"].select("event_id", F.col("event_type").alias("kind"), "user_id", F.lit(-1.0).alias("value")))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id")
+def feed_last_kinds(spark, d):
+    """The last kind of each path of a micro-batch; deletions come last in its order."""
+    from quirefold.streaming.feed import last_kinds
+
+    e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("mtime_nanos"))
+    return last_kinds(e).select(F.col("path").cast("long").alias("user_id"), "kind")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey = 7 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def patch_field(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return merge.partial_merge(c, spark.createDataFrame([(7, "PATCHED")], "c_custkey long, c_mktsegment string"), ["c_custkey"])
+
+
+@query("SELECT id, modified_at, CASE WHEN role IS NULL THEN 'member' ELSE role END AS role, name IS NULL OR email IS NULL AS bad_required, role IS NOT NULL AND role NOT IN ('admin', 'member', 'guest') AS bad_enum FROM users")
+def validate_and_prepare(spark, d):
+    """Defaults first, then the rules, as columns."""
+    c = Collection("users", "users/{name}.md", {"name": Field("name", "string", required=True), "email": Field("email", "string", required=True), "role": Field("role", "string", enum=["admin", "member", "guest"], default="member", has_default=True)})
+    u = t(spark, d, "users").select("id", "modified_at", "name", "email", F.coalesce("role", F.lit("member")).alias("role"))
+    r = validate.rule_columns(c)
+    return u.select("id", "modified_at", "role", (r["name_required"] | r["email_required"]).alias("bad_required"), r["role_enum"].alias("bad_enum"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
