@@ -23,7 +23,7 @@ _MARKUP = regex.compile(
     r"""|(?P<cmd>\\(?:emph|textbf|textit|texttt|underline|textsc)\{|\\href\{[^{}\n]*\}\{|\{\\(?:it|bf|em|tt)\s|\})"""
     r"""|(?P<less>\\textless(?:\{\})?)|(?P<more>\\textgreater(?:\{\})?)"""
     r"""|(?P<esc>\\(?=[\#$%&_{}<>*\[\]()+.!|~@\\`-]))"""
-    r"""|(?P<link>\]\([^()\s]*\)|\]\[[^\[\]\n]*\]|\[\[(?:[^\[\]|\n]*\|)?|\]\]|\[https?://[^\s\]]+\ |(?<!\bat|\bdot|\bAT|\bDOT)\](?=[\s.,;:!?)]|$)|(?<!!)\[(?!\s?(?:at|dot|AT|DOT)\s?\])(?=[^\[\]\n]+\][(\[]))"""
+    r"""|(?P<link>\[\^[^\]\s]+\]|\]\([^()\s]*\)|\]\[[^\[\]\n]*\]|\[\[(?:[^\[\]|\n]*\|)?|\]\]|\[https?://[^\s\]]+\ |(?<!\bat|\bdot|\bAT|\bDOT)\](?=[\s.,;:!?)]|$)|(?<!!)\[(?!\s?(?:at|dot|AT|DOT)\s?\])(?=[^\[\]\n]+\][(\[]))"""
     r"""|(?P<mark>\*{1,3}|~~|`+|'{2,5}|(?<!\w)_{1,3}(?=\w)|(?<=[\w.,!?)])_{1,3}(?!\w))""",
     regex.M | regex.I,
 )
@@ -119,15 +119,15 @@ NAME_FRAMES = [
     rf"Escribe\s+a\s+{_TITLE}{_G}\s+\(",
     rf"Contacter\s+{_TITLE}{_G}\s+à\s",
     rf"\bBitte\s+{_TITLE}{_G}\s+unter\s",
-    rf"next\s+to\s+{_TITLE}{_G}(?=[.\s<&]|$)",
-    rf"(?:Im\s+Bogen\s+steht\s[^\n]{{5,45}}?)\sbei\s+{_TITLE}{_G}(?=[.\s<&]|$)",
-    rf"(?:Le\s+dossier\s+porte\s[^\n]{{5,60}}?)\spour\s+{_TITLE}{_G}(?=[.\s<&]|$)",
-    rf"a\s+nombre\s+de\s+{_TITLE}{_G}(?=[.\s<&]|$)",
-    rf"signed\s+by\s+{_TITLE}{_G}\s+and\s+{_TITLE}(?P<b>{_FULL})(?=[.\s<&]|$)",
+    rf"next\s+to\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
+    rf"(?:Im\s+Bogen\s+steht\s[^\n]{{5,45}}?)\sbei\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
+    rf"(?:Le\s+dossier\s+porte\s[^\n]{{5,60}}?)\spour\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
+    rf"a\s+nombre\s+de\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
+    rf"signed\s+by\s+{_TITLE}{_G}\s+and\s+{_TITLE}(?P<b>{_FULL})(?=[.\s<&{{]|$)",
     rf"(?<![\p{{L}},]\ |[\p{{L}}'’-]){_G}\s+(?:said\s+the\s|moved\s+to\s|will\s+\p{{Ll}}+\s+the\s|wohnt\s+jetzt\s+in\s)",
     rf"(?:Dr|Prof|Mr|Mrs|Ms|Mx)\.\s+{_G}\s+(?:said\s+the\s|moved\s+to\s|will\s+\p{{Ll}}+\s+the\s|wohnt\s+jetzt\s+in\s)",
-    rf"(?:\bThanks,|\bBest,|Grüßen?|Cordialement,|Un\s+saludo,|Atentamente,|\bRegards,)\s+{_TITLE}{_G}(?=\s|$|[<&.])",
-    rf"Bien\s+à\s+toi,\s+{_GIVEN}(?=\s|$|[<&])",
+    rf"(?:\bThanks,|\bBest,|Grüßen?|Cordialement,|Un\s+saludo,|Atentamente,|\bRegards,)\s+{_TITLE}{_G}(?=\s|$|[<&.{{])",
+    rf"Bien\s+à\s+toi,\s+{_GIVEN}(?=\s|$|[<&{{])",
     rf"\bHi\s+{_GIVEN},\s",
     rf"\b(?:Hallo|Hola|Bonjour)\s+{_GIVEN},\s",
     rf"\bAsk\s+{_GIVEN}\s+to\s",
