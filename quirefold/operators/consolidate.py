@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import place
-from quirefold.session import cut
+from quirefold.session import cut, drop_cut
 
 #: Bytes of one output by default.
 TARGET_BYTES = 128 << 20
@@ -73,7 +73,9 @@ def consolidate(entries: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFra
     is the newest. Repeated rows with one entry_id are alike; columns of other names are not read; an empty listing gives no rows.
     """
     named = entries.where("path IS NOT NULL AND collection IS NOT NULL")
-    merged = merge_runs(sorted_runs(named), target_bytes)
+    runs = sorted_runs(named)
+    merged = merge_runs(runs, target_bytes)
+    drop_cut(runs)
     # one row a range: bounded by the number of shuffle partitions, whatever the data
     ends = merged.groupBy("range_id").agg(
         F.min(F.struct("collection", "place")).alias("lo"), F.max(F.struct("collection", "place")).alias("hi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -42,10 +43,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_CUTS: set[str] = set()
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all cuts of this process that are still there: for long sessions, once nothing that was made from them is needed."""
+    for at in list(_CUTS):
+        _delete(spark, at)
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _CUTS and spark is not None:
+        try:
+            clean(spark)
+        except Exception:  # the session may be gone already
+            pass
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(at)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _CUTS.discard(at)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends at replicated files that outlive any executor."""
     spark = df.sparkSession
     at = fresh_path(spark, name)
+    _CUTS.add(at)
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._written_at = at
@@ -56,9 +83,7 @@ def drop_cut(df: DataFrame) -> None:
     """Remove the files of a cut whose rows nobody needs any more."""
     at = getattr(df, "_written_at", None)
     if at:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(at)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, at)
 
 
 def share_file(spark: SparkSession, path: str) -> str:
