@@ -40,11 +40,14 @@ def _keys(df: DataFrame, name: str, shape: str, targets: list[str]) -> DataFrame
     return df.where(F.col(name).isNotNull()).select("id", F.lit(targets[0]).alias("target"), F.col(name).alias("ref"))
 
 
-def find_references(s: Schema, tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
-    """(collection, field, id, target, ref) of every reference to the records of gone (collection, id)."""
+def find_references(s: Schema, tables: dict[str, DataFrame], gone: DataFrame, names: set[str] | None = None) -> DataFrame:
+    """(collection, field, id, target, ref) of every reference to the records of gone (collection, id); names are the collections
+    that gone may name, if known: others' referrers are not read."""
     g = gone.select(F.col("collection").alias("target"), F.col("id").alias("ref")).distinct()
     out = None
     for c, f, targets, shape in references(s):
+        if names is not None and not names & set(targets):
+            continue
         hit = _keys(tables[c], f, shape, targets).join(g, ["target", "ref"], "left_semi").select(F.lit(c).alias("collection"), F.lit(f).alias("field"), "id", "target", "ref")
         out = hit if out is None else out.unionByName(hit)
     return out if out is not None else gone.sparkSession.createDataFrame([], "collection string, field string, id string, target string, ref string")
@@ -66,14 +69,16 @@ def plan_delete(s: Schema, tables: dict[str, DataFrame], gone: DataFrame, rounds
     spark = gone.sparkSession
     pol = spark.createDataFrame([(c, f, policy(s, c, f)) for c, f, _, _ in references(s)] or [("", "", "")], "collection string, field string, policy string")
     seen = cut(gone.select("collection", "id").distinct(), "gone")
-    front, kept = seen, None
+    front = seen
+    kept = spark.createDataFrame([], "collection string, field string, id string, target string, ref string, policy string")
     for _ in range(rounds):
-        refs = find_references(s, tables, front).join(F.broadcast(pol), ["collection", "field"])
-        refs = cut(refs, "refs")
-        kept = refs if kept is None else kept.unionByName(refs)
-        front = cut(refs.where("policy = 'cascade'").select("collection", "id").distinct().join(seen, ["collection", "id"], "left_anti"), "front")
-        if front.isEmpty():
+        # only collections that can refer to what goes are read; there are as many names as the schema has collections
+        names = {r[0] for r in front.select("collection").distinct().collect()}
+        if not any(names & set(targets) for _, _, targets, _ in references(s)):
             break
+        refs = cut(find_references(s, tables, front, names).join(F.broadcast(pol), ["collection", "field"]), "refs")
+        kept = kept.unionByName(refs)
+        front = cut(refs.where("policy = 'cascade'").select("collection", "id").distinct().join(seen, ["collection", "id"], "left_anti"), "front")
         seen = seen.unionByName(front)
     else:
         raise ReferenceRestricted(f"references are deeper than {rounds} levels")
