@@ -360,11 +360,11 @@ def debounce_sessions(spark, d):
     return merge.debounce(t(spark, d, "events"), "user_id", "ts", "event_id", "event_type", "6 hours").drop("end")
 
 
-@query("SELECT collection, id, CAST(epoch_us(modified_at) AS BIGINT) AS at FROM documents")
+@query("SELECT collection, id, CAST(epoch_us(modified_at) AS BIGINT) AS micros FROM documents")
 def modified_micros(spark, d):
     from quirefold.functions.text import micros_of
 
-    return t(spark, d, "documents").select("collection", "id", micros_of("modified_at").alias("at"))
+    return t(spark, d, "documents").select("collection", "id", micros_of("modified_at").alias("micros"))
 
 
 # -- migration ----------------------------------------------------------------------------------------------------------------
@@ -429,7 +429,7 @@ _view("with_clause", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total
 _view("derived_table", "SELECT x.c_nationkey, max(x.n) AS most FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) x GROUP BY x.c_nationkey", "customer")
 _view("scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.04 FROM part)", "part")
 _view("correlated_subquery", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", "orders")
-_view("string_functions", "SELECT p_partkey, lower(p_name) AS lo, upper(p_brand) AS up, CAST(length(p_type) AS BIGINT) AS n, substring(p_name, 2, 5) AS sub, replace(p_name, 'a', '*') AS rep, CAST(instr(p_name, 'e') AS BIGINT) AS at, trim('  ' || p_brand || ' ') AS tr, p_brand || '/' || p_type AS both FROM part", "part")
+_view("string_functions", "SELECT p_partkey, lower(p_name) AS lo, upper(p_brand) AS up, CAST(length(p_type) AS BIGINT) AS n, substring(p_name, 2, 5) AS sub, replace(p_name, 'a', '*') AS rep, CAST(instr(p_name, 'e') AS BIGINT) AS pos, trim('  ' || p_brand || ' ') AS tr, p_brand || '/' || p_type AS joined FROM part", "part")
 _view("like_any_case", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%econ%' OR p_name ILIKE 'RED%'", "part")
 _view("date_functions", "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, date_trunc('month', o_orderdate) AS first, o_orderdate + INTERVAL '1' DAY AS next FROM orders", "orders")
 _view("math_functions", "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, round(sqrt(abs(c_acctbal)), 6) AS s, c_custkey % 7 AS m FROM customer", "customer", oracle="SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, round(sqrt(abs(c_acctbal)), 6) AS s, c_custkey % 7 AS m FROM customer")
