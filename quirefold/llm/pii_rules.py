@@ -20,10 +20,10 @@ _LINES = "br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|pre|html|body|head|title|block
 _MARKUP = regex.compile(
     rf"""(?P<line>\[\[Category:[^\[\]\n]*\]\]|</?(?:{_LINES})\b(?:[^<>"']|"[^"]*"|'[^']*')*/?>)|(?P<tag></?(?:{_INLINE})\b(?:[^<>"']|"[^"]*"|'[^']*')*>)"""
     r"""|(?P<ent>&(?:[a-zA-Z]{2,8}|\#\d{1,6}|\#x[0-9a-fA-F]{1,5});)"""
-    r"""|(?P<cmd>\\(?:emph|textbf|textit|texttt|underline|textsc)\{|\\href\{[^{}\n]*\}\{|\{\\(?:it|bf|em|tt)\s|\})"""
+    r"""|(?P<cmd>\\(?:emph|textbf|textit|texttt|underline|textsc)\{|\\href\{[^{}\n]*\}\{|\{\\(?:it|bf|em|tt)\s|(?<!(?<!\\[a-z]{1,9}|\})\{\s?(?:at|dot)\s?)\})"""
     r"""|(?P<less>\\textless(?:\{\})?)|(?P<more>\\textgreater(?:\{\})?)"""
     r"""|(?P<esc>\\(?=[\#$%&_{}<>*\[\]()+.!|~@\\`-]))"""
-    r"""|(?P<link>\[\^[^\]\s]+\]|\]\([^()\s]*\)|\]\[[^\[\]\n]*\]|\[\[(?:[^\[\]|\n]*\|)?|\]\]|\[https?://[^\s\]]+\ |(?<!\bat|\bdot|\bAT|\bDOT)\](?=[\s.,;:!?)]|$)|(?<!!)\[(?!\s?(?:at|dot|AT|DOT)\s?\])(?=[^\[\]\n]+\][(\[]))"""
+    r"""|(?P<link>\[\^[^\]\s]+\]|\]\([^()\s]*\)|\]\[[^\[\]\n]*\]|\[\[(?:[^\[\]|\n]*\|)?|\]\]|\[https?://[^\s\]]+\ |(?<!\b(?:at|dot)\s?)\](?=[\s.,;:!?)]|$)|(?<!!)\[(?!\s?(?:at|dot|AT|DOT)\s?\])(?=[^\[\]\n]+\][(\[]))"""
     r"""|(?P<mark>\*{1,3}|~~|`+|'{2,5}|(?<!\w)_{1,3}(?=\w)|(?<=[\w.,!?)])_{1,3}(?!\w))""",
     regex.M | regex.I,
 )
@@ -75,6 +75,8 @@ EMAIL = regex.compile(
     rf"|{_LOCAL}(?:\s+at\s+|@){_HOST}(?:(?:{_DOT}|\.){_HOST})*(?:{_DOT})\p{{L}}{{2,}}\b",
     regex.I,
 )
+#: What every address holds in some case; a text without it needs no search.
+_EMAIL_CUE = regex.compile(r"@|[(\[{]\s?at\s?[)\]}]|dot", regex.I)
 _S = r"[  .\-/]"
 PHONE = regex.compile(
     rf"""(?<![\w+.\-/\#])(?:
@@ -151,7 +153,7 @@ def find_items(s: str) -> list[tuple[int, int, str]]:
             taken.append((a, b))
             out.append((a, b, kind))
 
-    if "@" in s or "dot" in s or "DOT" in s or "Dot" in s or "(at)" in s or "[at]" in s:
+    if _EMAIL_CUE.search(s):
         for m in EMAIL.finditer(s):
             add(m.start(), m.end(), "email")
     digits = any(c in s for c in "0123456789")

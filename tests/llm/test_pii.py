@@ -30,6 +30,14 @@ def test_found_by_the_tagger_and_checked(text, want):
         assert all(x.startswith(w) for (_, x), (_, w) in zip(got, want)), got
 
 
+@pytest.mark.parametrize("email", ["jane.doe {at} example.org", "jane (AT) example.org", "jane ( at ) example.org", "jane [ At ] example.org", "jane at example dOt org", "jane@example.org"])
+def test_every_email_that_the_shape_takes_is_searched(email):
+    s = f"Questions go to {email}, please."
+    assert pii_rules.EMAIL.search(s)[0] == email
+    assert [(s[a:b], k) for a, b, k in pii_rules.annotate(s)] == [(email, "email")]
+    assert pii_rules.shadow("\\emph{at} {\\it at}")[0] == "at at"
+
+
 def test_places_count_code_points_of_the_text():
     t = "🙂 caf\u00e9 \ufeff &amp; \\emph{Hi} [Delphe](http://x), the end"
     a, b, k = pii.find([t], pii.weights())[0][0]
