@@ -2,12 +2,14 @@
 
 Method: a character-level bidirectional LSTM with CRF transitions (tagger.py), trained in numpy from labelled spans
 (pii_train.py). It reads every text whole, in overlapping windows that are decoded and reconciled globally; what it marks is then
-checked by the exact shape of its kind (pii_rules.py), which settles where an item begins and drops what has no such shape.
+checked by the exact shape of its kind (pii_rules.py), which settles where an item begins and drops what has no such shape. Names
+and bare numbers need no known sentence around them: what the best path without any lead marks is kept if it has their shape.
 """
 
 from __future__ import annotations
 
 import os
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +39,9 @@ def weights(path: str = MODEL) -> dict:
     return tagger.halved(w)
 
 
-def checked(s: str, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """The exact items of a shadow text that the tagger's runs touch."""
+def checked(s: str, runs: list[tuple[int, int, int]], sure: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, str]]:
+    """The exact items of a shadow text that the tagger's runs touch, and the names and bare numbers that its sure runs cover
+    where no such item is."""
     out: dict[tuple[int, int], str] = {}
     i = 0
     while i < len(runs):
@@ -56,6 +59,13 @@ def checked(s: str, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, st
             if any(tagger.TAGS[t] == k and x < q + 2 and y > p - 2 for x, y, t in group):
                 out[p, q] = k
         i = j + 1
+    spans, end = sorted(out), 0
+    for x, y, t in sure:
+        at = pii_rules.shape_of(s, x, y, tagger.TAGS[t])
+        k = bisect_left(spans, (at[1],)) if at else 0
+        if at and at[0] >= end and not (k and spans[k - 1][1] > at[0]):
+            out[at] = tagger.TAGS[t]
+            end = at[1]
     return [(p, q, k) for (p, q), k in sorted(out.items())]
 
 
@@ -73,16 +83,21 @@ def find(texts: list[str | None], w: dict, lead: float = LEAD) -> list[list[tupl
             to += 1
         if parts:
             x = tagger.classes_of("\0\0\0\0".join([p[1] for p in parts]))
-            found = tagger.runs(tagger.best_path(tagger.emissions(x, w), w["trans"], lead))
-            k = 0
+            e = tagger.emissions(x, w)
+            found, plain = (tagger.runs(tagger.best_path(e, w["trans"], v)) for v in (lead, 0.0))
+            k = z = 0
             for n, s, place, off in parts:
-                mine = []
+                mine, sure = [], []
                 while k < len(found) and found[k][0] < off + len(s):
                     a, b, t = found[k]
                     mine.append((max(0, a - off), min(len(s), b - off), t))
                     k += 1
-                if mine:
-                    out[n] = [(int(place[a]), int(place[b - 1]) + 1, kind) if place is not None else (a, b, kind) for a, b, kind in checked(s, mine)]
+                while z < len(plain) and plain[z][0] < off + len(s):
+                    a, b, t = plain[z]
+                    sure.append((max(0, a - off), min(len(s), b - off), t))
+                    z += 1
+                if mine or sure:
+                    out[n] = [(int(place[a]), int(place[b - 1]) + 1, kind) if place is not None else (a, b, kind) for a, b, kind in checked(s, mine, sure)]
         at = to
     return out
 

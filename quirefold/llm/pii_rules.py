@@ -179,6 +179,34 @@ def find_items(s: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+_WORD = r"[\p{L}\p{M}\p{N}'’-]"
+_NAME = regex.compile(rf"{_TITLE}(?P<n>(?:{_FULL}|{_W})(?:(?<=\.)|(?!{_WORD})))")
+_NINE = regex.compile(r"(?<![\w+\-/.\#])9\d{8}(?![\w]|[.\-/]\d)")
+_NUMBERED = regex.compile(r"(?:Build|commit|Order|Run|Section|Part\ no\.|Raw:|Version|range|Set\s\w+\sto)\s?$")
+
+
+def shape_of(s: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The name or bare number that a tagged run a:b of a shadow text covers for the most part, whatever stands around it."""
+    if kind == "identity_number":
+        m = _NINE.search(s, max(0, a - 9), b + 9)
+        if m and min(b, m.end()) - max(a, m.start()) > 4 and not _NUMBERED.search(s[max(0, m.start() - 24) : m.start()]):
+            return m.span()
+    if kind != "name":
+        return None
+    while a > 0 and regex.match(_WORD, s[a - 1]):  # a run that begins inside a word means the word
+        a -= 1
+    while a < b:
+        m = _NAME.match(s, a)
+        if m and not _LEADS.match(m["n"]):
+            p, q = m.span("n")
+            return (p, q) if 2 * (min(b, q) - p) >= q - p else None
+        while a < b and regex.match(_WORD, s[a]):
+            a += 1
+        while a < b and not regex.match(_WORD, s[a]):
+            a += 1
+    return None
+
+
 def annotate(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the text itself."""
     s, at = shadow(text)

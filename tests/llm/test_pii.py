@@ -21,6 +21,9 @@ CASES = [
 ]
 
 
+UNSEEN = ("I met {} yesterday.", "We had lunch with {} on Friday.", "The complaint of {} was rejected.", "He married {} in 2019.", "Gestern traf ich {} im Zug.", "Nous avons rencontré {} hier.", "Ayer vi a {} en la plaza.", "My neighbour {} complained again.")
+
+
 @pytest.mark.parametrize("text,want", CASES)
 def test_found_by_the_tagger_and_checked(text, want):
     for pad in ("", "Nobody noticed that the index had become missing. " * 3):
@@ -38,6 +41,17 @@ def test_every_email_that_the_shape_takes_is_searched(email):
     assert pii_rules.shadow("\\emph{at} {\\it at}")[0] == "at at"
 
 
+def test_names_and_numbers_need_no_known_sentence():
+    w = pii.weights()
+    assert not any(c in pii_train.VARIED for c in UNSEEN)
+    got = [(x, [(t[a:b], k) for a, b, k in pii.find([t], w)[0]]) for c in UNSEEN for x in ("Maria Lopez", "Jonas Weber", "Aisha Okonkwo", "Mei-Lin Zhao") for t in [c.format(x)]]
+    assert sum(g == [(x, "name")] for x, g in got) > len(got) / 2, got
+    t = "I met Maria Lopez yesterday. The clerk typed 912345678 twice."
+    assert pii.redact(t, pii.find([t], w)[0]) == "I met [NAME] yesterday. The clerk typed [ID_NUMBER] twice."
+    t = "The Halvard parser reads it. Build 912345678 is done, Order 987654321 too."
+    assert pii.find([t], w)[0] == []
+
+
 def test_places_count_code_points_of_the_text():
     t = "🙂 caf\u00e9 \ufeff &amp; \\emph{Hi} [Delphe](http://x), the end"
     a, b, k = pii.find([t], pii.weights())[0][0]
