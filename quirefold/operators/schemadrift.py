@@ -8,13 +8,14 @@ declared schemas are fused the same way, so a document deviates where its tag is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.functions.canon import canon, json_kind, parse_object
+from quirefold.functions.canon import _bad, canon, json_kind, parse_object
 from quirefold.sources import yamlite
 
 #: The JSON types that a declared type takes. A ref with a list of targets takes objects too.
@@ -70,13 +71,17 @@ def schema_changes(declared: DataFrame, n_versions: int) -> DataFrame:
     return now.join(old, ["ver", "collection", "field"], "full").withColumn("change", change).where("change IS NOT NULL").select("ver", "collection", "field", "change")
 
 
-def tagged_documents(documents: DataFrame, seen: list, values: bool = False) -> DataFrame:
-    """(doc_id, collection, ver, tags[, vals]): each JSON object as a map from field to type tag, with its version in force.
-    Texts that hold no object, and documents older than any version or without a time, are left out."""
-    ts = F.col("modified_at")
+def in_force(seen: list) -> Column:
+    """The version in force at modified_at; null where there is none."""
     ver = F.lit(None).cast("int")
     for k, (_, since) in enumerate(seen):
-        ver = F.when(ts >= F.lit(since).cast("timestamp_ntz"), k).otherwise(ver)
+        ver = F.when(F.col("modified_at") >= F.lit(since).cast("timestamp_ntz"), k).otherwise(ver)
+    return ver
+
+
+def tagged_documents(documents: DataFrame, seen: list) -> DataFrame:
+    """(doc_id, collection, ver, tags): each JSON object as a map from field to type tag, with its version in force.
+    Texts that hold no object, and documents older than any version or without a time, are left out."""
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,18 +89,52 @@ def tagged_documents(documents: DataFrame, seen: list, values: bool = False) ->
             ok = [k for k, o in enumerate(objects) if o is not None]
             t = b.take(pa.array(ok, pa.int32()))
             kinds = pa.array([[(k, json_kind(v)) for k, v in objects[i].items()] for i in ok], pa.map_(pa.string(), pa.string()))
-            cols = [t.column(0), t.column(1), t.column(2), kinds]
-            if values:
-                cols.append(pa.array([[(k, v if isinstance(v, str) else canon(v)) for k, v in objects[i].items() if v is not None] for i in ok], pa.map_(pa.string(), pa.string())))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "collection", "ver", "tags", "vals"][: len(cols)])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), kinds], names=["doc_id", "collection", "ver", "tags"])
 
-    schema = "doc_id long, collection string, ver int, tags map<string,string>" + ", vals map<string,string>" * values
-    return documents.select("doc_id", "collection", ver.alias("ver"), "data_json").where("ver IS NOT NULL AND data_json IS NOT NULL").mapInArrow(tag, schema)
+    schema = "doc_id long, collection string, ver int, tags map<string,string>"
+    return documents.select("doc_id", "collection", in_force(seen).alias("ver"), "data_json").where("ver IS NOT NULL AND data_json IS NOT NULL").mapInArrow(tag, schema)
 
 
-def fuse(tagged: DataFrame) -> DataFrame:
-    """(collection, ver, field, tag, n): the union of all documents' schemas, every alternative kept and counted."""
-    return tagged.select("collection", "ver", F.explode("tags").alias("field", "tag")).groupBy("collection", "ver", "field", "tag").agg(F.count("*").alias("n"))
+def walk(text: str | None) -> list[tuple[str | None, str, str | None]]:
+    """(field, tag, canonical) of what a document's text holds; null values are not there. A text that holds no object, or one
+    without values, is one row without a field: its own JSON type, or the tag text and the text itself where it is no JSON."""
+    if text is None:
+        return [(None, "null", None)]
+    try:
+        v = json.loads(text, parse_constant=_bad)
+        whole = [(None, json_kind(v), v if isinstance(v, str) else canon(v))]
+        if not isinstance(v, dict):
+            return whole
+        return [(k, json_kind(x), x if isinstance(x, str) else canon(x)) for k, x in v.items() if x is not None] or whole
+    except (ValueError, RecursionError):
+        return [(None, "text", text)]
+
+
+def typed_values(documents: DataFrame, seen: list) -> DataFrame:
+    """(doc_id, collection, ver, field, tag, canonical, once): walk() of every document, none left out; ver is null where no
+    version is in force; once marks a document's first value of a field and tag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b.column(3).to_pylist()):
+                there: set = set()
+                for field, tag, value in walk(text):
+                    at.append(i)
+                    rows.append((field, tag, value, (field, tag) not in there))
+                    there.add((field, tag))
+            t = b.take(pa.array(at, pa.int32()))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            made = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), *made], names=["doc_id", "collection", "ver", "field", "tag", "canonical", "once"])
+
+    schema = "doc_id long, collection string, ver int, field string, tag string, canonical string, once boolean"
+    return documents.select("doc_id", "collection", in_force(seen).alias("ver"), "data_json").mapInArrow(run, schema)
+
+
+def fuse(values: DataFrame) -> DataFrame:
+    """(collection, ver, field, tag, n): the union of all documents' schemas, every alternative kept and its documents counted."""
+    return values.where("once AND field IS NOT NULL").groupBy("collection", "ver", "field", "tag").agg(F.count("*").alias("n"))
 
 
 def find_drift(documents: DataFrame, history: DataFrame) -> DataFrame:
@@ -131,23 +170,25 @@ def find_drift(documents: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def appearing_alternatives(documents: DataFrame, history: DataFrame) -> DataFrame:
-    """(version_id, collection, field, tag, n): types of a path in a version that no earlier version's documents had."""
+    """(version_id, collection, field, tag, n): types of a path in a version that no earlier version's documents had. The types
+    of the documents in no version are rows of their own, with a null version_id."""
     _, seen = versions(documents.sparkSession, history)
-    fused = fuse(tagged_documents(documents, seen)).where("tag <> 'null'")
-    first = fused.groupBy("collection", "field", "tag").agg(F.min("ver").alias("first"), F.min_by("n", "ver").alias("n"))
+    first = fuse(typed_values(documents, seen)).groupBy("collection", "field", "tag", F.col("ver").isNull().alias("none")).agg(F.min("ver").alias("first"), F.min_by("n", F.coalesce("ver", F.lit(-1))).alias("n"))
     names = F.create_map(*[x for k, (i, _) in enumerate(seen) for x in (F.lit(k), F.lit(i).cast("long"))]) if seen else F.create_map().cast("map<int,long>")
     return first.select(F.try_element_at(names, F.col("first")).alias("version_id"), "collection", "field", "tag", "n")
 
 
 def consistent_table(documents: DataFrame, history: DataFrame) -> DataFrame:
     """One row per document and field that is there, in one schema for all: the canonical text and, where the fused union has
-    several alternatives, the typed branch the value belongs to (as_number, as_boolean, as_json); branch_count tells conflicts."""
+    several alternatives, the typed branch the value belongs to (as_number, as_boolean, as_json); branch_count tells conflicts.
+
+    Every document has a row: schema_no is null where no version is in force, and a document without fields (null, no JSON, no
+    object, an empty one) is one row whose field and branch_count are null, with the tag and text of the whole."""
     _, seen = versions(documents.sparkSession, history)
-    tagged = tagged_documents(documents, seen, values=True)
+    long = typed_values(documents, seen)
     # fields of a collection: bounded by the schemas in use, not by the documents
-    alts = fuse(tagged).where("tag <> 'null'").groupBy("collection", "field").agg(F.countDistinct("tag").alias("branch_count"))
-    long = tagged.select("doc_id", "collection", "ver", "tags", F.explode("vals").alias("field", "canonical")).withColumn("tag", F.element_at("tags", F.col("field"))).drop("tags")
-    return long.join(alts, ["collection", "field"]).select(
+    alts = fuse(long).groupBy(F.col("collection").alias("c"), F.col("field").alias("f")).agg(F.countDistinct("tag").alias("branch_count"))
+    return long.join(alts, F.col("collection").eqNullSafe(F.col("c")) & (F.col("field") == F.col("f")), "left").select(
         "doc_id",
         "collection",
         F.col("ver").cast("long").alias("schema_no"),

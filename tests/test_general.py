@@ -188,6 +188,21 @@ def test_schema_drift(spark):
     assert schemadrift.find_drift(d, h.limit(0)).count() == 0 and {r[1] for r in schemadrift.find_drift(d.limit(0), h).collect()} == {0}
 
 
+def test_drift_table_keeps_every_document(spark):
+    h = spark.createDataFrame([(1, "", "collections: {notes: {path: x, fields: {a: string}}}", at(0))], HIST)
+    docs = [(1, "notes", '{"a":1,"b":null}', at(1)), (2, "notes", '{"a":"1"}', at(-1)), (3, "notes", '{"a":true}', None), (4, "notes", "[1]", at(1)), (5, "notes", None, at(1)), (6, "notes", "{}", at(1)), (7, "notes", '{"b":null}', at(1)), (8, None, '{"a":2}', at(1)), (None, None, "oops", None), (10, "notes", '"s"', at(1))]
+    d = spark.createDataFrame(docs, "doc_id long, collection string, data_json string, modified_at timestamp_ntz")
+    got = {r[0]: tuple(r)[1:] for r in schemadrift.consistent_table(d, h).collect()}
+    assert got == {
+        1: ("notes", 0, "a", "number", "1", 1.0, None, None, 3), 2: ("notes", None, "a", "string", "1", None, None, None, 3), 3: ("notes", None, "a", "boolean", "true", None, True, None, 3),
+        4: ("notes", 0, None, "list", "[1]", None, None, "[1]", None), 5: ("notes", 0, None, "null", None, None, None, None, None), 6: ("notes", 0, None, "object", "{}", None, None, "{}", None), 7: ("notes", 0, None, "object", "{}", None, None, "{}", None),
+        8: (None, 0, "a", "number", "2", 2.0, None, None, 1), None: (None, None, None, "text", "oops", None, None, None, None), 10: ("notes", 0, None, "string", "s", None, None, None, None),
+    }
+    alts = {tuple(r) for r in schemadrift.appearing_alternatives(d, h).collect()}
+    assert alts == {(1, "notes", "a", "number", 1), (1, None, "a", "number", 1), (None, "notes", "a", "string", 1), (None, "notes", "a", "boolean", 1)}
+    assert schemadrift.consistent_table(d, h.limit(0)).count() == 10 and schemadrift.consistent_table(d.limit(0), h).count() == 0
+
+
 def walk(par):
     out = {}
     for k in par:
