@@ -1,7 +1,7 @@
 """Schemas that drift between files (problem 6).
 
 Method: tagged-union inference. Each document's JSON is read as a map from field to type tag and value; the parallel schemas of
-all documents of a collection and version are fused by a map-side combined union that keeps every alternative type of a path;
+all documents of a collection and version are fused by a map-side combined union that keeps every alternative type of a path, inside objects and lists too;
 paths in conflict are split into one typed branch each plus a canonical text, and alternatives that appear are reported. The
 declared schemas are fused the same way, so a document deviates where its tag is none of the declared alternatives.
 """
@@ -95,9 +95,15 @@ def tagged_documents(documents: DataFrame, seen: list) -> DataFrame:
     return documents.select("doc_id", "collection", in_force(seen).alias("ver"), "data_json").where("ver IS NOT NULL AND data_json IS NOT NULL").mapInArrow(tag, schema)
 
 
+def step(key: str) -> str:
+    """A key as a part of a path; one that could be read as several is quoted."""
+    return json.dumps(key) if not key or any(c in key for c in '."[]') else key
+
+
 def walk(text: str | None) -> list[tuple[str | None, str, str | None]]:
-    """(field, tag, canonical) of what a document's text holds; null values are not there. A text that holds no object, or one
-    without values, is one row without a field: its own JSON type, or the tag text and the text itself where it is no JSON."""
+    """(field, tag, canonical) of every value in a document's text: fields of objects as a.b, elements of lists as a[]; null
+    values are not there. A text that holds no object, or one without values, is one row without a field: its own JSON type, or
+    the tag text and the text itself where it is no JSON or is nested too deep for canon (some hundred levels)."""
     if text is None:
         return [(None, "null", None)]
     try:
@@ -105,7 +111,17 @@ def walk(text: str | None) -> list[tuple[str | None, str, str | None]]:
         whole = [(None, json_kind(v), v if isinstance(v, str) else canon(v))]
         if not isinstance(v, dict):
             return whole
-        return [(k, json_kind(x), x if isinstance(x, str) else canon(x)) for k, x in v.items() if x is not None] or whole
+        out, todo = [], [(step(k), x) for k, x in reversed(v.items())]
+        while todo:
+            path, x = todo.pop()
+            if x is None:
+                continue
+            out.append((path, json_kind(x), x if isinstance(x, str) else canon(x)))
+            if isinstance(x, dict):
+                todo += [(f"{path}.{step(k)}", y) for k, y in reversed(x.items())]
+            elif isinstance(x, list):
+                todo += [(f"{path}[]", y) for y in reversed(x)]
+        return out or whole
     except (ValueError, RecursionError):
         return [(None, "text", text)]
 
@@ -179,7 +195,7 @@ def appearing_alternatives(documents: DataFrame, history: DataFrame) -> DataFram
 
 
 def consistent_table(documents: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per document and field that is there, in one schema for all: the canonical text and, where the fused union has
+    """One row per document and value that is there at any depth (elements of a list at one path), in one schema for all: the canonical text and, where the fused union has
     several alternatives, the typed branch the value belongs to (as_number, as_boolean, as_json); branch_count tells conflicts.
 
     Every document has a row: schema_no is null where no version is in force, and a document without fields (null, no JSON, no

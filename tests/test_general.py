@@ -203,6 +203,21 @@ def test_drift_table_keeps_every_document(spark):
     assert schemadrift.consistent_table(d, h.limit(0)).count() == 10 and schemadrift.consistent_table(d.limit(0), h).count() == 0
 
 
+def test_drift_inside_objects_and_lists(spark):
+    h = spark.createDataFrame([(1, "", "a: {}", at(0)), (2, "", "a: {}", at(10))], HIST)
+    docs = [(1, "notes", '{"m":{"n":1,"o":null,"p.q":{"":true}},"l":[{"id":"x"},{"id":"y"},[2]]}', at(1)), (2, "notes", '{"m":{"n":"1"},"l":[{"id":7}]}', at(11))]
+    d = spark.createDataFrame(docs, "doc_id long, collection string, data_json string, modified_at timestamp_ntz")
+    alts = {(r[0], r[2], r[3], r[4]) for r in schemadrift.appearing_alternatives(d, h).collect()}
+    assert alts == {
+        (1, "m", "object", 1), (1, "m.n", "number", 1), (1, 'm."p.q"', "object", 1), (1, 'm."p.q".""', "boolean", 1), (1, "l", "list", 1), (1, "l[]", "object", 1), (1, "l[]", "list", 1), (1, "l[][]", "number", 1), (1, "l[].id", "string", 1),
+        (2, "m.n", "string", 1), (2, "l[].id", "number", 1),
+    }
+    t = sorted((r["doc_id"], r["field"], r["tag"], r["canonical"], r["as_number"], r["branch_count"]) for r in schemadrift.consistent_table(d, h).where("field IN ('m.n', 'l[].id')").collect())
+    assert t == [(1, "l[].id", "string", "x", None, 2), (1, "l[].id", "string", "y", None, 2), (1, "m.n", "number", "1", 1.0, 2), (2, "l[].id", "number", "7", 7.0, 2), (2, "m.n", "string", "1", None, 2)]
+    deep = '{"a":' * 300 + "1" + "}" * 300
+    assert len(schemadrift.walk(deep)) == 300 and schemadrift.walk(deep)[-1][1] == "number"
+
+
 def walk(par):
     out = {}
     for k in par:
