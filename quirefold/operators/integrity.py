@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ def find_references(s: Schema, tables: dict[str, DataFrame], gone: DataFrame, na
     return out if out is not None else gone.sparkSession.createDataFrame([], "collection string, field string, id string, target string, ref string")
 
 
+#: Rounds of a cascade whose results are united before they are written as one.
+CUT_EVERY = 8
+
+
 @dataclass
 class Effects:
     """What deleting some records does: all of it is known before any of it is done."""
@@ -63,7 +68,7 @@ class Effects:
     restricted: list = field(default_factory=list)
 
 
-def plan_delete(s: Schema, tables: dict[str, DataFrame], gone: DataFrame, rounds: int = 64) -> Effects:
+def plan_delete(s: Schema, tables: dict[str, DataFrame], gone: DataFrame) -> Effects:
     """The effects of deleting the records of gone, cascades followed to the end; loops end since no record is visited twice.
     Raises ReferenceRestricted, with nothing done, if a record that stays refers to one that goes under the policy error."""
     spark = gone.sparkSession
@@ -71,7 +76,7 @@ def plan_delete(s: Schema, tables: dict[str, DataFrame], gone: DataFrame, rounds
     seen = cut(gone.select("collection", "id").distinct(), "gone")
     front = seen
     kept = spark.createDataFrame([], "collection string, field string, id string, target string, ref string, policy string")
-    for _ in range(rounds):
+    for rounds in count(1):
         # only collections that can refer to what goes are read; there are as many names as the schema has collections
         names = {r[0] for r in front.select("collection").distinct().collect()}
         if not any(names & set(targets) for _, _, targets, _ in references(s)):
@@ -80,8 +85,8 @@ def plan_delete(s: Schema, tables: dict[str, DataFrame], gone: DataFrame, rounds
         kept = kept.unionByName(refs)
         front = cut(refs.where("policy = 'cascade'").select("collection", "id").distinct().join(seen, ["collection", "id"], "left_anti"), "front")
         seen = seen.unionByName(front)
-    else:
-        raise ReferenceRestricted(f"references are deeper than {rounds} levels")
+        if rounds % CUT_EVERY == 0:  # plans stay small however deep references are
+            seen, kept = cut(seen, "gone"), cut(kept, "kept")
     stay = kept.join(seen, ["collection", "id"], "left_anti")
     stopped = stay.where("policy = 'error'").select("collection", "field", "id").limit(20).collect()
     if stopped:

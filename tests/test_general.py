@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions.canon import canon, parse_object
-from quirefold.operators import consolidate, forest, intervals, matrixdiff, merge, orphans, schemadrift
+from quirefold.operators import consolidate, forest, integrity, intervals, matrixdiff, merge, orphans, schemadrift
 from quirefold.operators.keyfilter import key_filter
+from quirefold.schema import parse_schema
 
 T0 = datetime(2024, 5, 1)
 at = lambda h: T0 + timedelta(hours=h)
@@ -256,6 +257,14 @@ def test_threads_edges(spark):
     assert {tuple(r) for r in forest.descendants(forest.resolve(links, paths=True)).collect()} == {("r", "x", 1), ("r", "y", 2), ("x", "y", 1)}
 
 
+def test_cascades_of_any_depth(spark):
+    s = parse_schema("collections: {comments: {path: 'c/{id}.md', fields: {parent: {type: ref, target: comments, on_delete: cascade}}}}")
+    links = [(f"c{k}", f"c{k - 1}" if k else "c69") for k in range(70)] + [("other", None)]  # a chain that is a loop too
+    t = {"comments": spark.createDataFrame(links, "id string, parent string").coalesce(1)}
+    fx = integrity.plan_delete(s, t, spark.createDataFrame([("comments", "c0")], "collection string, id string"))
+    assert sorted(r["id"] for r in fx.deleted.collect()) == sorted(f"c{k}" for k in range(70)) and fx.nullified.count() == fx.archived.count() == 0
+
+
 def test_keyed_changes(spark):
     base = spark.createDataFrame([(1, "a", None), (2, "b", "q"), (3, None, "z")], "k long, v string, w string")
     patch = spark.createDataFrame([(2, None, "n"), (9, "x", None)], "k long, v string, w string")
