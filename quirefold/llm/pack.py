@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers with items (problem 9).
 
-Method: hierarchical multi-length packing. Items are routed to context-size tiers; tiers are packed from the longest down, each
-item into the smallest gap of an open window that takes it, so gaps of long windows are filled from shorter tiers; what fits no
-gap opens a window of its own tier. Windows are then dealt into step groups of about equal tokens. The items are dealt at
+Method: best-fit decreasing. Containers have one fixed capacity, so hierarchical multi-length packing comes down to it: items go
+from the longest down, each into the smallest gap of an open window that takes it; what fits no gap opens a window of the whole
+capacity, labelled with the tier of that first item. Windows are then dealt into step groups of about equal tokens. The items are dealt at
 random, by hash, into shards of a fixed number of tokens that pack independently: a shard is large against a container, so what
 its last containers leave open is a small and constant share.
 """
