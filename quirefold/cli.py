@@ -67,9 +67,11 @@ def _body(a) -> str | None:
 
 
 def run(argv: list[str], spark=None) -> object:
-    from quirefold.engine import Store
+    from quirefold.engine import Store, pending_migrations
 
     a = parser().parse_args(argv)
+    if a.command == "migrate" and a.dry_run:  # opening the store would migrate it
+        return {"warnings": [], "pending": pending_migrations(a.data_dir)}
     s = Store(spark or local_session("2", 2), a.data_dir)
     text = lambda pairs: dict(x.partition("=")[::2] for x in pairs)
     match a.command:
@@ -78,12 +80,17 @@ def run(argv: list[str], spark=None) -> object:
         case "list":
             return _rows(s.list(a.collection, **text(a.filter)))
         case "insert":
-            return {"id": s.insert(a.collection, fields_of(a.field), _body(a))}
+            ident = s.insert(a.collection, fields_of(a.field), _body(a))
+            s.flush()
+            return {"id": ident}
         case "update":
             s.update_partial(a.collection, a.id, fields_of(a.field), _body(a))
+            s.flush()
             return {"id": a.id}
         case "delete":
-            return {k: [list(x) for x in v] for k, v in s.delete(a.collection, a.id, a.dry_run).items()}
+            told = s.delete(a.collection, a.id, a.dry_run)
+            s.flush()
+            return {k: [list(x) for x in v] for k, v in told.items()}
         case "view":
             return _rows(s.view(a.name))
         case "query":

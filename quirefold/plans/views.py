@@ -40,6 +40,16 @@ def split_limit(sql: str) -> tuple[str, int | None, int]:
     return (sql[: m.start()], int(m[1]), int(m[2] or 0)) if m else (sql.rstrip().rstrip(";"), None, 0)
 
 
+def _listed(rows: Iterable[str]) -> Iterable[str]:
+    """JSON rows as the parts of a YAML list."""
+    empty = True
+    for x in rows:
+        empty = False
+        yield yamlite.dump([json.loads(x)])
+    if empty:
+        yield yamlite.dump([])
+
+
 @dataclass
 class Compiled:
     view: View
@@ -64,6 +74,9 @@ class Views:
     cached: dict[str, DataFrame] = field(default_factory=dict)
     listeners: dict[int, tuple[str, Callable]] = field(default_factory=dict)
     built: dict[str, int] = field(default_factory=dict)
+    stale: set[str] = field(default_factory=set)
+    #: Called before anything is planned: whoever keeps the tables brings them up to date.
+    before: Callable[[], object] | None = None
 
     def define(self, v: View, known: Iterable[str]) -> Compiled:
         params = param_names(v.query)
@@ -88,6 +101,8 @@ class Views:
     def plan(self, name: str) -> DataFrame:
         """A static view's query with its buffered limit."""
         c = self.get(name)
+        if self.before:
+            self.before()
         df = self.spark.sql(c.body)
         dup = {x for x in df.columns if df.columns.count(x) > 1}
         if dup:
@@ -104,22 +119,24 @@ class Views:
             old.unpersist()
         df = self.plan(name).persist()
         self.cached[name] = df
+        self.stale.discard(name)
         self.built[name] = self.built.get(name, 0) + 1
-        if root and c.view.materialize:
-            rows = [json.loads(x) for x in (df if c.limit is None else df.limit(c.limit)).toJSON().collect()]
-            frontmatter.write_atomic(os.path.join(root, "views", f"{name}.yaml"), yamlite.dump(rows))
+        if root and c.view.materialize:  # row by row: a view without a limit may be long
+            rows = (df if c.limit is None else df.limit(c.limit)).toJSON().toLocalIterator()
+            frontmatter.write_atomic(os.path.join(root, "views", f"{name}.yaml"), _listed(rows))
         for view, f in list(self.listeners.values()):
             if view == name:
                 f(name, df)
         return df
 
-    def read(self, name: str, exact: bool = False) -> DataFrame:
-        """The rows kept of a static view, as many as its buffer holds; exact: as many as its limit. A template has none."""
+    def read(self, name: str, exact: bool = False, root: str | None = None) -> DataFrame:
+        """The rows kept of a static view, as many as its buffer holds; exact: as many as its limit. A template has none. A view
+        that changes have made stale is rebuilt first."""
         c = self.get(name)
         if c.template:
             return self.spark.createDataFrame([], "empty string").drop("empty")
         df = self.cached.get(name)
-        df = df if df is not None else self.rebuild(name)
+        df = df if df is not None and name not in self.stale else self.rebuild(name, root)
         return df.limit(c.limit) if exact and c.limit is not None else df
 
     def query(self, name: str, params: dict | None = None) -> DataFrame:
@@ -141,14 +158,43 @@ class Views:
 
     def columns(self, name: str) -> list[tuple[str, str]]:
         """(name, type) of a view's columns, as analysed."""
+        return self._analysed(name).dtypes
+
+    def _analysed(self, name: str) -> DataFrame:
         c = self.get(name)
-        df = self.spark.sql(c.view.query, args=dict.fromkeys(c.params)) if c.params else self.plan(name)
-        return df.dtypes
+        return self.spark.sql(c.view.query.rstrip().rstrip(";"), args=dict.fromkeys(c.params)) if c.params else self.plan(name)
+
+    def sources(self, name: str) -> list[tuple[str, str | None, str | None]]:
+        """(column, collection, field) of a view's columns: where a column is a field as it stands, or renamed, its collection and
+        name there; null for what is computed. Read off the analysed plan, so through joins, derived tables and WITH as well."""
+        plan = self._analysed(name)._jdf.queryExecution().analyzed()
+        known = self.get(name).collections
+        where: dict[int, tuple[str, str]] = {}
+        alias: dict[int, int] = {}
+        todo, seq = [plan], lambda x: [x.apply(k) for k in range(x.size())]
+        while todo:
+            p = todo.pop()
+            if p.nodeName() == "SubqueryAlias" and p.alias() in known:
+                for a in seq(p.output()):
+                    where.setdefault(a.exprId().id(), (p.alias(), a.name()))
+                continue
+            for e in seq(p.expressions()):
+                if e.nodeName() == "Alias" and e.child().nodeName() == "AttributeReference":
+                    alias[e.exprId().id()] = e.child().exprId().id()
+            todo += seq(p.children())
+        out = []
+        for a in seq(plan.output()):
+            k = a.exprId().id()
+            while k not in where and k in alias:
+                k = alias[k]
+            out.append((a.name(), *where.get(k, (None, None))))
+        return out
 
     def save(self, path: str) -> None:
-        """Write every kept view as Parquet below path, and what is known of it."""
-        for n, df in self.cached.items():
-            df.write.mode("overwrite").parquet(f"{path}/{n}")
+        """Write the rows of every static view as Parquet below path."""
+        for n, c in self.compiled.items():
+            if not c.template:
+                self.read(n).write.mode("overwrite").parquet(f"{path}/{n}")
 
     def load(self, path: str) -> list[str]:
         """Keep the rows that save wrote, for views that have none yet; which these are."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,13 +64,13 @@ def write(fields: dict, body: str | None, fmt: str = "md") -> str:
     return f"---\n{yamlite.dump(fields) if fields else ''}---\n" + (f"\n{body.rstrip(chr(10))}\n" if body is not None else "")
 
 
-def write_atomic(path: str, text: str) -> None:
-    """text in a file of the same directory that then takes the place of path; missing directories are made."""
+def write_atomic(path: str, text: str | Iterable[str]) -> None:
+    """text, or its parts, in a file of the same directory that then takes the place of path; missing directories are made."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(path), prefix=".tmp-")
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.writelines([text] if isinstance(text, str) else text)
         os.replace(tmp, path)
     except BaseException:
         if os.path.exists(tmp):
@@ -118,25 +120,42 @@ def parser(fmt: str):
 _ENTRY = T.StructType([T.StructField("path", T.StringType()), T.StructField("mtime_nanos", T.LongType()), T.StructField("created_nanos", T.LongType()), T.StructField("size_bytes", T.LongType())])
 
 
+#: Directories that are listed at once.
+LISTERS = 16
+
+
 def list_files(root: str, base: str, ext: str) -> list[tuple[str, int, int, int]]:
     """(path below root, mtime, birth or mtime, size) of the files below a base directory, by path; times in nanoseconds."""
-    out, stack = [], [os.path.join(root, base)]
-    while stack:
-        try:
-            entries = list(os.scandir(stack.pop()))
-        except (FileNotFoundError, NotADirectoryError):
-            continue
-        for e in entries:
-            if e.name.startswith((".", "_")):
-                continue
-            if e.is_dir(follow_symlinks=False):
-                stack.append(e.path)
-            elif e.name.endswith("." + ext):
-                st = e.stat()
-                out.append((os.path.relpath(e.path, root).replace(os.sep, "/"), st.st_mtime_ns, int(getattr(st, "st_birthtime", 0) * 1e9) or st.st_mtime_ns, st.st_size))
+    out, level = [], [os.path.join(root, base)]
+    with ThreadPoolExecutor(LISTERS) as pool:  # directories of one depth are read side by side
+        while level:
+            got = list(pool.map(lambda d: _entries(d, root, ext), level))
+            out += [f for files, _ in got for f in files]
+            level = [d for _, dirs in got for d in dirs]
     return sorted(out)
 
 
+def _entries(d: str, root: str, ext: str) -> tuple[list[tuple[str, int, int, int]], list[str]]:
+    """(files, directories) in a directory; one that is gone has none."""
+    files, dirs = [], []
+    try:
+        with os.scandir(d) as it:
+            for e in it:
+                if e.name.startswith((".", "_")):
+                    continue
+                if e.is_dir(follow_symlinks=False):
+                    dirs.append(e.path)
+                elif e.name.endswith("." + ext):
+                    try:
+                        st = e.stat()
+                    except FileNotFoundError:
+                        continue
+                    files.append((os.path.relpath(e.path, root).replace(os.sep, "/"), st.st_mtime_ns, int(getattr(st, "st_birthtime", 0) * 1e9) or st.st_mtime_ns, st.st_size))
+    except (FileNotFoundError, NotADirectoryError):
+        pass
+    return files, dirs
+
+
 def listing(spark: SparkSession, root: str, base: str, ext: str) -> DataFrame:
     """list_files as a table."""
     return spark.createDataFrame(list_files(root, base, ext), _ENTRY)

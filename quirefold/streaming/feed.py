@@ -35,6 +35,22 @@ class DirectoryFeed(DataSource):
         return _Reader(self.options)
 
 
+def _keep(state: str, n: int, listing: dict) -> None:
+    os.makedirs(state, exist_ok=True)
+    tmp = os.path.join(state, f".{n}.json")
+    with open(tmp, "w", encoding="utf-8") as f:
+        json.dump(listing, f)
+    os.replace(tmp, os.path.join(state, f"{n}.json"))
+
+
+def begin_with(state: str, listing: dict[str, int]) -> bool:
+    """Let a feed that has no listing yet begin with this one (path, mtime), in place of its own first one."""
+    if os.path.isdir(state) and any(f.endswith(".json") for f in os.listdir(state)):
+        return False
+    _keep(state, 0, listing)
+    return True
+
+
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options):
         self.root = options["root"]
@@ -51,16 +67,13 @@ class _Reader(SimpleDataSourceStreamReader):
         return {p: m for ext in EXTENSIONS for p, m, _, _ in list_files(self.root, "", ext)}
 
     def initialOffset(self) -> dict:  # noqa: N802
-        """What is there when the feed begins is no change."""
-        self._keep(0, self._scan())
+        """What is there when the feed begins is no change; what that is, begin_with may have said."""
+        if not os.path.exists(os.path.join(self.state, "0.json")):
+            self._keep(0, self._scan())
         return {"n": 0}
 
     def _keep(self, n: int, listing: dict) -> None:
-        os.makedirs(self.state, exist_ok=True)
-        tmp = os.path.join(self.state, f".{n}.json")
-        with open(tmp, "w", encoding="utf-8") as f:
-            json.dump(listing, f)
-        os.replace(tmp, os.path.join(self.state, f"{n}.json"))
+        _keep(self.state, n, listing)
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         n, old = start["n"], self._load(start["n"])
