@@ -1,25 +1,25 @@
 """Parent-child links to full hierarchies (problem 7).
 
-Method: tree contraction. Leaf raking (every node without children goes) alternates with unary-chain compression (nodes with a
-single child are bypassed, an independent set a round, chosen by coins). What goes is recorded with the link it had; rounds are
-logarithmic in the number of nodes, not in the depth. A core that neither rakes nor compresses away is a set of loops, which
-compression shortens to self-loops. The records are then undone in reverse order, which recovers root, depth, state and path.
-Every round is written, so lineage never grows; a core of at most LOCAL_ROWS links is finished by the same steps in one task.
+Method: tree contraction. A round rakes the leaves (every node without children goes) and then compresses unary chains (nodes
+with a single child left are bypassed where their random priority beats those of child and parent, so no two neighbours go at
+once). What goes is recorded with the link it had; rounds are logarithmic in the number of nodes, not in the depth. A core that
+neither rakes nor compresses away is a set of loops, which compression shortens to self-loops: rounds end when no link is left.
+The records are then undone in reverse order, which recovers root, depth, state and path. Every round is written once, so lineage
+never grows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import count
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import norm_key
 from quirefold.session import cut, drop_cut
 
-#: Links at which the rest fits one task: some 10 MB, whatever the input's size.
-LOCAL_ROWS = 50_000
+#: A parent with more than this share of all links is hot: there are at most as many as its inverse, so they are broadcast.
+HOT = 1 / 1000
 
 
 def links_of(comments: DataFrame, node: str = "id", parent: str = "parent.id", version: str = "modified_at") -> DataFrame:
@@ -34,124 +34,86 @@ def links_of(comments: DataFrame, node: str = "id", parent: str = "parent.id", v
     )
 
 
-def _solve(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
-    """The rest of a contraction, at most LOCAL_ROWS links: walks up until something is known, marks loops, unwinds."""
-    link = dict(zip(pdf["node"], zip(pdf["parent"], pdf["w"], pdf["low"], pdf["seg"])))
-    known: dict[str, tuple] = {}
-    for start in link:
-        trail, on = [], {}
-        x = start
-        while x not in known and x in link and x not in on:
-            on[x] = len(trail)
-            trail.append(x)
-            x = link[x][0]
-        if x in on:  # a loop
-            loop = trail[on[x] :]
-            root = min([*loop, *[link[y][2] for y in loop if link[y][2] is not None]])
-            for y in loop:
-                known[y] = (root, 0, "cycle", [y])
-            trail = trail[: on[x]]
-        elif x not in known:  # a link's end that is no node here: known further out or not at all
-            known[x] = (x, 0, "tree", [x])
-        for y in reversed(trail):
-            p, w, _, seg = link[y]
-            root, depth, state, path = known[p]
-            known[y] = (root, depth + w, "tree" if state == "tree" else "below_cycle", [*path, *(seg if seg is not None else []), y] if paths else [])
-    rows = [(y, *known[y]) for y in link]
-    return pd.DataFrame(rows, columns=["node", "root_id", "depth", "state", "path"])
-
-
-def resolve(links: DataFrame, paths: bool = False, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def _priority(c: Column, k: int) -> Column:
+    return F.struct(F.xxhash64(c, F.lit(k)), c)
+
+
+def _contract(edges: DataFrame, k: int, paths: bool) -> DataFrame:
+    """One round, written: links by tag: `rake` and `compress` are gone (the latter with the child they had), `rest` stays."""
+    none = F.array().cast("array<string>")
+    kids = edges.groupBy("parent").agg(F.count("*").alias("kids")).select(F.col("parent").alias("node"), "kids")
+    a = edges.join(kids, "node", "left")
+    inner = a.where("kids IS NOT NULL").drop("kids")
+    child = F.struct(*[c for c in edges.columns if c != "parent"])
+    # of what raking leaves: single children, whose parent is bypassed if its priority is the highest of the three
+    single = inner.groupBy("parent").agg(F.count("*").alias("kids"), F.first(child).alias("c")).where("kids = 1").select(F.col("parent").alias("node"), "c")
+    mine = _priority(F.col("node"), k)
+    v = inner.join(single, "node", "left").withColumn("goes", F.col("c").isNotNull() & (mine > _priority(F.col("c.node"), k)) & (mine > _priority(F.col("parent"), k)))
+    skipped = v.where("goes").select(
+        F.col("c.node").alias("node"), F.col("parent").alias("_p"), F.col("w").alias("_w"), F.least("node", "low").alias("_low"),
+        *([F.concat(F.coalesce("seg", none), F.array("node")).alias("_seg")] if paths else []),
+    )
+    rest = v.where("NOT goes").drop("c", "goes").join(skipped, "node", "left").select(
+        F.lit("rest").alias("tag"), "node", F.coalesce("_p", "parent").alias("parent"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.least("low", "_low").alias("low"),
+        *([F.when(F.col("_p").isNull(), F.col("seg")).otherwise(F.concat("_seg", F.coalesce("seg", none))).alias("seg")] if paths else []),
+    )
+    raked = a.where("kids IS NULL").drop("kids").withColumn("tag", F.lit("rake"))
+    gone = v.where("goes").select(F.lit("compress").alias("tag"), "node", F.col("c.node").alias("child"), F.col("c.w").alias("cw"), *([F.col("c.seg").alias("cseg")] if paths else []))
+    return cut(rest.unionByName(raked).unionByName(gone, allowMissingColumns=True), "round")
+
+
+def resolve(links: DataFrame, paths: bool = False, hot: float = HOT) -> DataFrame:
     """(node, root_id, depth, state[, path]) of every node of (node, parent), node unique.
 
     A null parent makes a node its own root; a parent that is no node is a root outside. Links to oneself are loops of one.
     An empty table gives no rows. path runs from the root, or from the node on the loop, to the node itself.
     """
-    spark = links.sparkSession
-    local = f"node string, root_id string, depth int, state string{', path array<string>' * paths}"
-    path_col, drop = (["path"], []) if paths else ([], ["path"])
+    path_col = ["path"] if paths else []
     nil = F.lit(None)
     base = cut(links.select("node", "parent"), "links")
-    edges = base.where("parent IS NOT NULL").select("node", "parent", F.lit(1).alias("w"), nil.cast("string").alias("low"), nil.cast("array<string>").alias("seg"))
-    if not paths:
-        edges = edges.drop("seg")
+    edges = base.where("parent IS NOT NULL").select("node", "parent", F.lit(1).alias("w"), nil.cast("string").alias("low"), *([nil.cast("array<string>").alias("seg")] if paths else []))
     # roots: nodes without a parent, and parents that are no node (`outside`, left out of the result); both end every walk
+    parents = cut(edges.groupBy("parent").agg(F.count("*").alias("n")), "parents")
+    total = parents.agg(F.sum("n")).head()[0] or 0
+    # at most 1 / hot of them, and their children only become fewer: on the way back they are met by a broadcast, not by one task
+    hot_parents = [r["parent"] for r in parents.where(F.col("n") > max(1, total * hot)).select("parent").collect()]
     roots = base.where("parent IS NULL").select("node", F.lit("tree").alias("state")).unionByName(
-        base.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().join(base.select("node"), "node", "left_anti").withColumn("state", F.lit("outside"))
+        parents.select(F.col("parent").alias("node")).join(base.select("node"), "node", "left_anti").withColumn("state", F.lit("outside"))
     )
     done = roots.select("node", F.col("node").alias("root_id"), F.lit(0).alias("depth"), "state", *([F.array("node").alias("path")] if paths else []))
-    records: list[tuple[str, DataFrame]] = []
-    solved: list[DataFrame] = []
-    n, k = edges.count(), 0
-    while n > local_rows:
-        rake = k % 2 == 0
-        kids = edges.groupBy("parent").agg(F.count("*").alias("kids"), *([] if rake else [F.first(F.struct(*[c for c in edges.columns if c != "parent"])).alias("c")]))
-        if rake:
-            split = cut(edges.join(kids.select(F.col("parent").alias("node"), "kids"), "node", "left").withColumn("goes", F.col("kids").isNull()).drop("kids"), "rake")
-            records.append(("rake", split.where("goes").drop("goes", "low")))
-            rest = split.where("NOT goes").drop("goes")
-        else:
-            coin = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 1
-            # single children whose parent is a node that goes: v -> p is bypassed, c -> p stays
-            bypass = cut(
-                edges.join(kids.where("kids = 1").select(F.col("parent").alias("node"), "c"), "node")
-                .where((F.col("c.node") != F.col("node")) & (F.col("parent") != F.col("node")) & coin("node") & ~coin("c.node")),
-                "bypass",
-            )
-            records.append(("compress", bypass.select("node", F.col("c.node").alias("child"), F.col("c.w").alias("cw"), *([F.col("c.seg").alias("cseg")] if paths else []))))
-            gone = bypass.select("node").unionByName(bypass.select(F.col("c.node").alias("node")))
-            joined = bypass.select(
-                F.col("c.node").alias("node"),
-                "parent",
-                (F.col("w") + F.col("c.w")).alias("w"),
-                F.least("node", "low", "c.low").alias("low"),
-                *([F.concat(F.coalesce("seg", F.array().cast("array<string>")), F.array("node"), F.coalesce("c.seg", F.array().cast("array<string>"))).alias("seg")] if paths else []),
-            )
-            rest = edges.join(gone, "node", "left_anti").unionByName(joined)
-        rest = cut(rest, "rest") if not rake else rest
-        loops = rest.where("node = parent")
-        solved.append(loops.select("node", F.coalesce(F.least("node", "low"), "node").alias("root_id"), F.lit(0).alias("depth"), F.lit("cycle").alias("state"), *([F.array("node").alias("path")] if paths else [])))
-        edges = rest.where("node <> parent")
-        n, k = edges.count(), k + 1
-    # the rest, in one task; its size was counted
-    core = edges if paths else edges.withColumn("seg", nil.cast("array<string>"))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if got:
-            yield _solve(pd.concat(got), paths).drop(columns=drop)
-
-    for s in solved:
-        done = done.unionByName(s)
-    if records:
-        done = cut(done, "ends")
-    rest_done = core.coalesce(1).mapInPandas(finish, local)
-    if records:
-        # the rest may end at a loop that was solved before: such ends are looked up
-        rest_done = cut(rest_done, "core")
-        e = done.where("state = 'cycle'").select(F.col("node").alias("root_id"), F.col("root_id").alias("real"))
-        rest_done = rest_done.join(e, "root_id", "left").select("node", F.coalesce("real", "root_id").alias("root_id"), "depth", F.when(F.col("real").isNotNull() & (F.col("state") == "tree"), "below_cycle").otherwise(F.col("state")).alias("state"), *path_col)
-    done = done.unionByName(rest_done)
-    before: DataFrame | None = None
-    for kind, r in reversed(records):
-        done = cut(done, "done")
-        if before is not None:
-            drop_cut(before)
-        before = done
-        if kind == "rake":
-            p = done.select(F.col("node").alias("parent"), "root_id", "depth", "state", *path_col)
-            new = r.join(p, "parent").select(
-                "node", "root_id", (F.col("depth") + F.col("w")).alias("depth"), F.when(F.col("state").isin("tree", "outside"), "tree").otherwise("below_cycle").alias("state"),
-                *([F.concat("path", F.coalesce("seg", F.array().cast("array<string>")), F.array("node")).alias("path")] if paths else []),
-            )
-        else:
-            c = done.select(F.col("node").alias("child"), "root_id", "depth", "state", *path_col)
-            on = F.col("state") == "cycle"
-            new = r.join(c, "child").select(
-                "node", "root_id", F.when(on, 0).otherwise(F.col("depth") - F.col("cw")).alias("depth"), "state",
-                *([F.when(on, F.array("node")).otherwise(F.slice("path", F.lit(1), F.size("path") - F.coalesce(F.size("cseg"), F.lit(0)) - 1)).alias("path")] if paths else []),
-            )
-        done = done.unionByName(new)
+    rounds: list[DataFrame] = []
+    for k in count():
+        loops = edges.where("node = parent")
+        done = done.unionByName(loops.select("node", F.coalesce(F.least("node", "low"), "node").alias("root_id"), F.lit(0).alias("depth"), F.lit("cycle").alias("state"), *([F.array("node").alias("path")] if paths else [])))
+        edges = edges.where("node <> parent")
+        if edges.isEmpty():
+            break
+        rounds.append(_contract(edges, k, paths))
+        edges = rounds[-1].where("tag = 'rest'").select(*edges.columns)
+    done = cut(done, "done")
+    written = [done]
+    for r in reversed(rounds):
+        c = done.select(F.col("node").alias("child"), "root_id", "depth", "state", *path_col)
+        on = F.col("state") == "cycle"
+        chained = r.where("tag = 'compress'").select("node", "child", "cw", *(["cseg"] if paths else [])).join(c, "child").select(
+            "node", "root_id", F.when(on, 0).otherwise(F.col("depth") - F.col("cw")).alias("depth"), "state",
+            *([F.when(on, F.array("node")).otherwise(F.slice("path", F.lit(1), F.size("path") - F.coalesce(F.size("cseg"), F.lit(0)) - 1)).alias("path")] if paths else []),
+        )
+        done = done.unionByName(chained)
+        p = done.select(F.col("node").alias("parent"), "root_id", "depth", "state", *path_col)
+        leaves = r.where("tag = 'rake'").select("node", "parent", "w", *(["seg"] if paths else []))
+        met = leaves.join(p, "parent")
+        if hot_parents:
+            is_hot = F.col("parent").isin(hot_parents)
+            met = leaves.where(~is_hot).join(p, "parent").unionByName(leaves.where(is_hot).join(F.broadcast(p.where(is_hot)), "parent"))
+        raked = met.select(
+            "node", "root_id", (F.col("depth") + F.col("w")).alias("depth"), F.when(F.col("state").isin("tree", "outside"), "tree").otherwise("below_cycle").alias("state"),
+            *([F.concat("path", F.coalesce("seg", F.array().cast("array<string>")), F.array("node")).alias("path")] if paths else []),
+        )
+        done = cut(done.unionByName(raked), "done")
+        drop_cut(written.pop()), drop_cut(r)
+        written.append(done)
+    drop_cut(base), drop_cut(parents)
     return done.where("state <> 'outside'")
 
 

@@ -9,8 +9,6 @@ import pytest
 from quirefold import cli
 from quirefold import errors as E
 from quirefold.engine import Store
-from quirefold.operators.integrity import plan_delete
-from quirefold.schema import parse_schema
 from quirefold.streaming.feed import Echoes
 
 SCHEMA = """
@@ -157,11 +155,3 @@ def test_sources_of_columns(port):
     assert port._fresh().sources("trips_by_boat") == [("boat_name", "boats", "name"), ("length", "boats", "length"), ("n", None, None)]
     assert port.views.sources("of_berth") == [("who", "boats", "name"), ("loud", None, None)]
     assert port.views.sources("fleet") == [("id", "boats", "id"), ("name", "boats", "name")]
-
-
-def test_cascades_deeper_than_64_links(spark):
-    s = parse_schema("collections:\n  notes:\n    path: n/{id}.md\n    fields:\n      parent: {type: ref, target: notes, on_delete: cascade}\n")
-    n = 70
-    df = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else None) for k in range(n)] + [("other", None)], "id string, parent string")
-    gone = spark.createDataFrame([("notes", "n0")], "collection string, id string")
-    assert plan_delete(s, {"notes": df}, gone).deleted.count() == n

@@ -234,8 +234,8 @@ def walk(par):
     return out
 
 
-@pytest.mark.parametrize("seed,local_rows", [(1, 0), (2, 0), (3, 40), (4, 10**6)])
-def test_forest_against_walks(spark, seed, local_rows):
+@pytest.mark.parametrize("seed,hot", [(1, 0.001), (2, 0.001), (3, 0.02), (4, 1.0)])
+def test_forest_against_walks(spark, seed, hot):
     r = random.Random(seed)
     par = {f"n{k:03}": (r.choice([None, f"out{r.randrange(3)}"]) if r.random() < 0.05 else f"n{r.randrange(max(0, k - r.choice([1, 3, 200])), k):03}" if k else None) for k in range(220)}
     for k in range(150, 180):  # a chain, and loops with trees below
@@ -244,9 +244,9 @@ def test_forest_against_walks(spark, seed, local_rows):
     par |= {"a": "b", "b": "c", "c": "a", "self": "self", "t1": "a", "t2": "t1", "t3": "self", **{f"z{k:02}": f"z{(k + 1) % 17:02}" for k in range(17)}, "zt": "z05"}
     links = spark.createDataFrame(list(par.items()), "node string, parent string")
     want = walk(par)
-    got = {x["node"]: (x["root_id"], x["depth"], x["state"], x["path"]) for x in forest.resolve(links, paths=True, local_rows=local_rows).collect()}
+    got = {x["node"]: (x["root_id"], x["depth"], x["state"], x["path"]) for x in forest.resolve(links, paths=True, hot=hot).collect()}
     assert got == want
-    assert {x["node"]: (x["root_id"], x["depth"], x["state"]) for x in forest.resolve(links, local_rows=local_rows).collect()} == {k: v[:3] for k, v in want.items()}
+    assert {x["node"]: (x["root_id"], x["depth"], x["state"]) for x in forest.resolve(links, hot=hot).collect()} == {k: v[:3] for k, v in want.items()}
 
 
 def test_threads_edges(spark):
