@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import place
 from quirefold.operators import consolidate, forest, intervals, matrixdiff, orphans, schemadrift
+from quirefold.session import fresh_path
 from quirefold.session import table as t
 
 
@@ -26,6 +28,14 @@ def p2_outputs(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.range_metadata(consolidate.consolidate(t(spark, d, "collection_entries"), target_bytes=1 << 20))
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """The range metadata of the files written: each file on disk once, as of its newest listing row, with what the index holds of
+    it (nothing, if it isn't indexed), 1 MiB each."""
+    kept = consolidate.consolidate(t(spark, d, "collection_entries")).where("NOT superseded AND place IS NOT NULL").select("collection", "place", "entry_id", "mtime_nanos")
+    held = t(spark, d, "documents").where("path IS NOT NULL").select("collection", place("path").alias("place"), "id", "data_json", "content_text")
+    return consolidate.rewrite_files(kept.join(held, ["collection", "place"], "left"), ["collection", "place"], fresh_path(spark, "small-files"), 1 << 20)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return matrixdiff.diff_copies(t(spark, d, "documents"), t(spark, d, "documents_replica"))
 
@@ -63,7 +73,7 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_outputs, p4_found, p4_report, p5_found, p6_found, p6_alternatives, p6_table, p7_found, p7_paths, p7_descendants)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_outputs, p2_files, p4_found, p4_report, p5_found, p6_found, p6_alternatives, p6_table, p7_found, p7_paths, p7_descendants)}
 
 
 # -- the same in SQL ------------------------------------------------------------------------------------------------------------

@@ -1,13 +1,16 @@
 """The general operators against brute force, on small tables with nulls, repeats, ties, loops and skew."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from quirefold.functions.canon import canon, parse_object
-from quirefold.operators import consolidate, forest, integrity, intervals, matrixdiff, merge, orphans, schemadrift
+from quirefold.operators import consolidate, forest, integrity, intervals, matrixdiff, merge, orphans, runmerge, schemadrift
 from quirefold.operators.keyfilter import key_filter
 from quirefold.schema import parse_schema
 
@@ -95,13 +98,65 @@ def test_one_path_fills_many_ranges(spark):
     assert [r[0] for r in out.where("NOT superseded").select("entry_id").collect()] == [6]
 
 
+def test_merge_of_many_runs():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    runs = [sorted(f"{r.randrange(60):03}" for _ in range(r.randrange(0, 90))) for _ in range(7)] + [["005"] * 200]
+    blocks = []
+    for n, keys in enumerate(runs):
+        at = 0
+        while at < len(keys):
+            to = at + r.randrange(1, 30)
+            blocks.append(pa.RecordBatch.from_arrays([pa.array(keys[at:to]), pa.array([n] * len(keys[at:to])), pa.array(range(at, at + len(keys[at:to])))], names=["k", "run", "no"]))
+            at = to
+    blocks.append(blocks[0].slice(0, 0))
+    got = [(x["k"], x["run"], x["no"]) for b in runmerge.merged(iter(blocks), 0, 1) for x in b.to_pylist()]
+    assert [g[0] for g in got] == sorted(k for x in runs for k in x)
+    assert sorted(got) == sorted((k, n, i) for n, x in enumerate(runs) for i, k in enumerate(x))
+    for n in range(len(runs)):  # what is equal stays in the order of its run
+        assert [g[2] for g in got if g[1] == n] == list(range(len(runs[n])))
+    assert list(runmerge.merged(iter([]), 0, 1)) == []
+
+
+def test_sortable_keys(spark):
+    texts, numbers = [None, "", "\0", "\0a", "a", "a\0", "a\0\1", "a b", "ab", "\u00e9", "\U0001f642"], [None, -(2**63), -1, 0, 1, 2**63 - 1]
+    df = spark.createDataFrame([(x, n) for x in texts for n in numbers], "x string, n long")
+    up = df.select("x", "n", F.concat(runmerge.text_key(F.col("x")), runmerge.number_key(F.col("n"))).alias("k")).orderBy("k").collect()
+    assert [(r["x"], r["n"]) for r in up] == [(x, n) for x in texts for n in numbers]
+    down = df.select("x", "n", F.concat(runmerge.text_key(F.col("x")), runmerge.number_key(F.col("n"), down=True)).alias("k")).orderBy("k").collect()
+    assert [(r["x"], r["n"]) for r in down] == [(x, n) for x in texts for n in [*numbers[:0:-1], None]]
+
+
+def test_outputs_are_rolled_by_the_bytes_that_stay(spark):
+    """Heads of ranges that continue a file of the range before fill no output."""
+    rows = [(k, "a", f"{k // 40:02}.md", k, 100) for k in range(400)]
+    df = spark.createDataFrame(rows, ENTRY)
+    out = consolidate.consolidate(df, target_bytes=100)
+    kept = out.where("NOT superseded").collect()
+    assert sorted(r["entry_id"] for r in kept) == [40 * k + 39 for k in range(10)]
+    assert len({r["out_file"] for r in kept}) == 10  # one file each: none is pushed into another's output, none shares one
+    meta = consolidate.range_metadata(out).collect()
+    assert {(r["n_files"], r["n_bytes"]) for r in meta} == {(1, 100)}
+
+
 def test_rewrite_files_keeps_every_row(spark, tmp_path):
-    df = spark.range(1000).select((F.col("id") % 300).alias("k"), F.col("id").cast("string").alias("v"))
+    df = spark.range(1000).select((F.col("id") % 300).alias("k"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("v"), (F.col("id") % 11).cast("int"))).alias("v"))
+    df = df.unionByName(df.where("k = 5")).unionByName(spark.range(400).select(F.lit(9).cast("long").alias("k"), F.lit("hot").alias("v")))
     df.repartition(60).write.parquet(str(tmp_path / "small"))
     small = spark.read.parquet(str(tmp_path / "small"))
-    out = consolidate.rewrite_files(small, ["k", "v"], str(tmp_path / "big"), 400, 2)
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
-    assert len(list((tmp_path / "big").glob("*.parquet"))) <= 4
+    at = f"file://{tmp_path}/big"
+    meta = sorted(map(tuple, consolidate.rewrite_files(small, ["k"], at, 900, range_rows=300).collect()))
+    assert sorted(map(str, consolidate.records_of(spark, at, df.schema).collect())) == sorted(map(str, df.collect()))
+    files = list((tmp_path / "big" / "files").glob("out_file=*/*.parquet"))
+    assert len(files) == len(meta) < 60 and sum(m[3] for m in meta) == df.count() and all(m[4] <= 900 for m in meta)
+    ends = [(json.loads(m[1])["k"], json.loads(m[2])["k"]) for m in meta]
+    assert all(a <= b for a, b in ends) and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))  # disjoint ranges in order
+    assert sum(a == b == 9 for a, b in ends) > 1  # a hot key spreads
+    for f in files[:5]:
+        k = [x["row"]["k"] for x in pq.read_table(f).to_pylist()]
+        assert k == sorted(k)
+    assert consolidate.rewrite_files(small.limit(0), ["k"], f"{at}-none").count() == 0
 
 
 def test_intervals(spark):
@@ -132,6 +187,47 @@ def test_interval_log_survives_failures(spark, tmp_path):
     assert sorted((x["lo"], x["hi"]) for x in log.done().collect()) == [(1, 3), (5, 5), (7, 8)]
 
 
+def test_interval_log_of_two_writers(spark, tmp_path):
+    at = f"file://{tmp_path}/log"
+    a, b = intervals.IntervalLog(spark, at), intervals.IntervalLog(spark, at)
+    rows = spark.createDataFrame([(x, f"r{x}") for x in range(10)], "n long, v string")
+    assert a.run(rows.where("n < 3"), "n", lambda df: df) == 3
+
+    def slow(df):  # meanwhile another run takes the same rows and commits first
+        assert b.run(rows, "n", lambda x: x) == 7
+        return df
+
+    with pytest.raises(intervals.CommitConflict):
+        a.run(rows, "n", slow)
+    assert a.version() == 2 and sorted(r[0] for r in a.outputs(rows.schema).collect()) == list(range(10))  # each once
+    assert a.run(rows, "n", lambda df: df) == 0
+    assert len([d for d in (tmp_path / "log").iterdir() if d.is_dir()]) == 3  # the loser's folder is gone
+
+
+@pytest.mark.parametrize("step", ["input", "output", "intervals", "commit"])
+def test_interval_log_dies_at_any_step(spark, tmp_path, monkeypatch, step):
+    log = intervals.IntervalLog(spark, f"file://{tmp_path}/log")
+    rows = spark.createDataFrame([(1, "a"), (4, "b")], "n long, v string")
+    log.run(rows.where("n = 1"), "n", lambda df: df)
+    if step == "commit":
+        monkeypatch.setattr(log, "_commit", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    else:
+        write = DataFrameWriter.parquet
+        monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, p, *a, **k: (_ for _ in ()).throw(OSError("gone")) if p.endswith(step) else write(self, p, *a, **k))
+    with pytest.raises(OSError):
+        log.run(rows, "n", lambda df: df)
+    monkeypatch.undo()
+    again = intervals.IntervalLog(spark, log.root)
+    assert again.version() == 1 and again.run(rows, "n", lambda df: df) == 1
+    assert sorted(r[0] for r in again.outputs(rows.schema).collect()) == [1, 4]
+
+
+def test_committed_intervals_of_runs(spark):
+    keep = spark.createDataFrame([(1, "a", "x", 5), (2, "a", "y", 6), (3, "a", "z", 7), (9, "a", "w", None)], "entry_id long, collection string, place string, micros long")
+    index = spark.createDataFrame([("a", "x", 5, 1), ("a", "y", 6, 1), ("a", "z", 8, 2), ("a", "w", None, 2)], "collection string, place string, at long, run_id int")
+    assert [tuple(r) for r in intervals.committed(keep, index).select("run_id", "lo", "hi").collect()] == [(1, 1, 2)]
+
+
 def test_pending_files(spark):
     e = spark.createDataFrame([(1, "a", "x.md", 1_000_000_999, 1), (2, "a", "./y.md", 2_000_000_000, 1), (3, "a", "z.md", -1, 1), (4, "a", "n.md", None, 1), (5, "a", "x.md", 5, 1), (6, None, None, 3, 1)], ENTRY)
     d = spark.createDataFrame([("a", "x.md", datetime(1970, 1, 1, 0, 0, 1), 1), ("a", "y.md", datetime(1970, 1, 1, 0, 0, 2), 2), ("a", "z.md", datetime(1969, 12, 31, 23, 59, 59, 999999), 1), ("a", "n.md", None, 1), (None, None, None, None)], "collection string, path string, modified_at timestamp_ntz, indexed_run int")
