@@ -60,6 +60,10 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return schemadrift.consistent_table(t(spark, d, "documents"), t(spark, d, "schema_history"))
 
 
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    return schemadrift.value_table(t(spark, d, "documents"), t(spark, d, "schema_history"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.find_threads(t(spark, d, "comments"))
 
@@ -73,7 +77,7 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_outputs, p2_files, p4_found, p4_report, p5_found, p6_found, p6_alternatives, p6_table, p7_found, p7_paths, p7_descendants)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_outputs, p2_files, p4_found, p4_report, p5_found, p6_found, p6_alternatives, p6_table, p6_values, p7_found, p7_paths, p7_descendants)}
 
 
 # -- the same in SQL ------------------------------------------------------------------------------------------------------------

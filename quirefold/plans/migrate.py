@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.errors import MigrationFailed
-from quirefold.schema import Schema
+from quirefold.schema import Schema, parse_schema
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,23 @@ def diff(old: Schema, new: Schema) -> list[Change]:
     return out
 
 
+def history_diff(history: DataFrame) -> DataFrame:
+    """(version_id, kind, collection, field, safe) of every schema text in (id, schema_yaml, created_at) against the one before it.
+    Versions are numbered by 16 bytes each; their texts meet in a join and are read by the executors."""
+    rows = history.select("id", "schema_yaml", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
+    order = sorted(((r["t"] is not None, r["t"] or 0, r["id"]) for r in rows.select("id", "t").distinct().collect()))
+    number = history.sparkSession.createDataFrame([(k, i, t if there else None) for k, (there, t, i) in enumerate(order)], "n long, id long, t long")
+    texts = rows.join(number.withColumnsRenamed({"id": "_i", "t": "_t"}), F.col("id").eqNullSafe(F.col("_i")) & F.col("t").eqNullSafe(F.col("_t"))).select("n", "id", "schema_yaml").dropDuplicates(["n"])
+    pairs = texts.alias("b").join(texts.select((F.col("n") + 1).alias("n"), F.col("schema_yaml").alias("old")), "n").select("id", "old", "schema_yaml")
+
+    def run(batches):
+        for pdf in batches:
+            out = [(i, c.kind, c.collection, c.field, c.safe) for i, a, b in pdf.itertuples(index=False) for c in diff(parse_schema(a), parse_schema(b))]
+            yield pd.DataFrame(out, columns=["version_id", "kind", "collection", "field", "safe"])
+
+    return pairs.mapInPandas(run, "version_id long, kind string, collection string, field string, safe boolean")
+
+
 def check(changes: list[Change], new: Schema) -> list[str]:
     """Warnings of unsafe changes. Raises MigrationFailed for a new required field without default and for a changed type."""
     errors = [c.description for c in changes if c.kind == "field_type_changed" or (c.kind == "field_added" and not c.safe)]

@@ -280,7 +280,7 @@ def test_schema_drift(spark):
     assert got - declared == {(1, 1, "notes", "n", "mistyped"), (1, 1, "notes", "new", "undeclared"), (1, 1, "notes", "title", "absent"), (2, 3, "notes", "title", "mistyped"), (2, 3, "notes", "q", "undeclared"), (1, 9, None, "z", "undeclared")}
     alts = {tuple(r)[1:] for r in schemadrift.appearing_alternatives(d, h).collect()}
     assert ("notes", "title", "number", 1) in alts and ("notes", "title", "string", 1) in alts
-    t = {(r["doc_id"], r["field"]): r for r in schemadrift.consistent_table(d, h).collect()}
+    t = {(r["doc_id"], r["field"]): r for r in schemadrift.value_table(d, h).collect()}
     assert t[1, "r"]["as_json"] == '{"id":"1"}' and t[3, "title"]["as_number"] == 1.0 and t[3, "title"]["branch_count"] == 2
     assert schemadrift.find_drift(d, h.limit(0)).count() == 0 and {r[1] for r in schemadrift.find_drift(d.limit(0), h).collect()} == {0}
 
@@ -289,7 +289,7 @@ def test_drift_table_keeps_every_document(spark):
     h = spark.createDataFrame([(1, "", "collections: {notes: {path: x, fields: {a: string}}}", at(0))], HIST)
     docs = [(1, "notes", '{"a":1,"b":null}', at(1)), (2, "notes", '{"a":"1"}', at(-1)), (3, "notes", '{"a":true}', None), (4, "notes", "[1]", at(1)), (5, "notes", None, at(1)), (6, "notes", "{}", at(1)), (7, "notes", '{"b":null}', at(1)), (8, None, '{"a":2}', at(1)), (None, None, "oops", None), (10, "notes", '"s"', at(1))]
     d = spark.createDataFrame(docs, "doc_id long, collection string, data_json string, modified_at timestamp_ntz")
-    got = {r[0]: tuple(r)[1:] for r in schemadrift.consistent_table(d, h).collect()}
+    got = {r[0]: tuple(r)[1:] for r in schemadrift.value_table(d, h).collect()}
     assert got == {
         1: ("notes", 0, "a", "number", "1", 1.0, None, None, 3), 2: ("notes", None, "a", "string", "1", None, None, None, 3), 3: ("notes", None, "a", "boolean", "true", None, True, None, 3),
         4: ("notes", 0, None, "list", "[1]", None, None, "[1]", None), 5: ("notes", 0, None, "null", None, None, None, None, None), 6: ("notes", 0, None, "object", "{}", None, None, "{}", None), 7: ("notes", 0, None, "object", "{}", None, None, "{}", None),
@@ -297,7 +297,7 @@ def test_drift_table_keeps_every_document(spark):
     }
     alts = {tuple(r) for r in schemadrift.appearing_alternatives(d, h).collect()}
     assert alts == {(1, "notes", "a", "number", 1), (1, None, "a", "number", 1), (None, "notes", "a", "string", 1), (None, "notes", "a", "boolean", 1)}
-    assert schemadrift.consistent_table(d, h.limit(0)).count() == 10 and schemadrift.consistent_table(d.limit(0), h).count() == 0
+    assert schemadrift.value_table(d, h.limit(0)).count() == 10 and schemadrift.value_table(d.limit(0), h).count() == 0
 
 
 def test_drift_inside_objects_and_lists(spark):
@@ -309,12 +309,44 @@ def test_drift_inside_objects_and_lists(spark):
         (1, "m", "object", 1), (1, "m.n", "number", 1), (1, 'm."p.q"', "object", 1), (1, 'm."p.q".""', "boolean", 1), (1, "l", "list", 1), (1, "l[]", "object", 1), (1, "l[]", "list", 1), (1, "l[][]", "number", 1), (1, "l[].id", "string", 1),
         (2, "m.n", "string", 1), (2, "l[].id", "number", 1),
     }
-    t = sorted((r["doc_id"], r["field"], r["tag"], r["canonical"], r["as_number"], r["branch_count"]) for r in schemadrift.consistent_table(d, h).where("field IN ('m.n', 'l[].id')").collect())
+    t = sorted((r["doc_id"], r["field"], r["tag"], r["canonical"], r["as_number"], r["branch_count"]) for r in schemadrift.value_table(d, h).where("field IN ('m.n', 'l[].id')").collect())
     assert t == [(1, "l[].id", "string", "x", None, 2), (1, "l[].id", "string", "y", None, 2), (1, "m.n", "number", "1", 1.0, 2), (2, "l[].id", "number", "7", 7.0, 2), (2, "m.n", "string", "1", None, 2)]
     deep = '{"a":' * 300 + "1" + "}" * 300
     assert len(schemadrift.walk(deep)) == 300 and schemadrift.walk(deep)[-1][1] == "number"
 
 
+def test_consistent_table_has_one_row_a_document(spark):
+    h = spark.createDataFrame([(1, "", "collections: {notes: {fields: {a: number, b: {type: list}}}}", at(0)), (2, "", "collections: {notes: {fields: {a: string, doc_id: string}}}", at(10))], HIST)
+    docs = [(1, "notes", '{"a":1,"b":[1, {"y":2,"x":1}],"z":true}', at(1)), (2, "notes", '{"a":"1","b":null}', at(11)), (3, "notes", '{"a":{},"doc_id":"q"}', at(12)), (4, "notes", "oops", at(1)), (5, None, None, None), (6, "notes", "[1]", at(-9)), (1, "notes", "{}", at(1))]
+    d = spark.createDataFrame(docs, "doc_id long, collection string, data_json string, modified_at timestamp_ntz").withColumn("kind", F.lit("clash"))
+    t = schemadrift.consistent_table(d, h)
+    got = sorted((r.asDict(True) for r in t.collect()), key=lambda r: (r["doc_id"], str(r["whole"]), -len(r["undeclared"])))
+    assert [(r["doc_id"], r["version_id"], r["kind"], r["whole"]) for r in got] == [(1, 1, "object", None), (1, 1, "object", None), (2, 2, "object", None), (3, 2, "object", None), (4, 1, "text", "oops"), (5, None, None, None), (6, None, "list", "[1]")]
+    assert got[0]["data"] == {"a": {"canonical": "1", "as_string": None, "as_number": 1.0, "as_object": None}, "b": {"canonical": '[1,{"x":1,"y":2}]', "as_list": '[1,{"x":1,"y":2}]'}, "doc_id": {"canonical": None, "as_string": None}}
+    assert got[0]["undeclared"] == {"z": {"tag": "boolean", "canonical": "true"}}
+    assert got[2]["data"]["a"]["as_string"] == "1" and got[2]["data"]["a"]["as_number"] is None and got[3]["data"]["a"]["as_object"] == "{}" and got[3]["data"]["doc_id"]["as_string"] == "q"
+    assert schemadrift.consistent_table(d, h.limit(0)).count() == 7 and schemadrift.consistent_table(d.limit(0), h).count() == 0
+
+
+def test_small_sides_that_are_not_small(spark, monkeypatch):
+    a = spark.createDataFrame([(1, "x"), (2, None), (None, "x"), (1, "x")], "k int, c string")
+    b = spark.createDataFrame([(1, "x", 10), (2, None, 20), (None, "x", 30), (3, "y", 40)], "k int, c string, v int")
+    for limit in (200_000, 1):
+        monkeypatch.setattr(schemadrift, "SMALL", limit)
+        assert sorted(r["v"] for r in schemadrift.small_join(a, b, ["k", "c"]).collect()) == [10, 10, 20, 30]
+        assert schemadrift.small_join(a, b.where("k = 9"), ["k", "c"], "left").count() == 4
+
+
+def test_many_versions(spark):
+    """As many as there are: the plan does not grow with them."""
+    n = 3000
+    h = spark.createDataFrame([(k, "", f"collections: {{notes: {{fields: {{a: {'string' if k % 2 else 'number'}}}}}}}", at(k)) for k in range(n)], HIST)
+    d = spark.createDataFrame([(k, "notes", '{"a":1}', at(k)) for k in range(0, n, 7)] + [(n, "notes", '{"a":1}', at(-1)), (n + 1, "notes", '{"a":1}', None)], "doc_id long, collection string, data_json string, modified_at timestamp_ntz")
+    got = schemadrift.find_drift(d, h).where("doc_id > 0 OR change = 'mistyped'").collect()
+    assert sorted((r["version_id"], r["doc_id"], r["change"]) for r in got) == [(k, k, "mistyped") for k in range(0, n, 7) if k % 2]
+    assert schemadrift.find_drift(d, h).where("change = 'retyped'").count() == n - 1
+
+
 def walk(par):
     out = {}
     for k in par:
