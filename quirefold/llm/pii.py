@@ -1,15 +1,13 @@
 """Personal information inside free text (problem 10).
 
 Method: a character-level bidirectional LSTM with CRF transitions (tagger.py), trained in numpy from labelled spans
-(pii_train.py). It reads every text whole, in overlapping windows that are decoded and reconciled globally; what it marks is then
-checked by the exact shape of its kind (pii_rules.py), which settles where an item begins and drops what has no such shape. Names
-and bare numbers need no known sentence around them: what the best path without any lead marks is kept if it has their shape.
+(pii_train.py). It reads every text whole, in overlapping windows of that text alone, whose emissions are reconciled and decoded
+as one best path; what the path marks is what is found, of the kind that it says. Shapes (pii_rules.py) only trim the edges.
 """
 
 from __future__ import annotations
 
 import os
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,11 +20,9 @@ from quirefold.llm import pii_rules, tagger
 
 #: The trained weights; python -m quirefold.llm.pii_train makes them anew.
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
-#: Added to item tags when decoding: the check removes what is too much.
-LEAD = 1.0
-#: Characters of context around a marked run for the check.
-BEFORE, AFTER = 140, 60
-#: Characters of text that are tagged at once.
+#: Added to item tags when decoding: more finds more, and more that is none.
+LEAD = 0.0
+#: Characters of texts that are tagged side by side.
 CHARS = 2 << 20
 #: The placeholder of each kind.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "name": "[NAME]"}
@@ -39,65 +35,22 @@ def weights(path: str = MODEL) -> dict:
     return tagger.halved(w)
 
 
-def checked(s: str, runs: list[tuple[int, int, int]], sure: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, str]]:
-    """The exact items of a shadow text that the tagger's runs touch, and the names and bare numbers that its sure runs cover
-    where no such item is."""
-    out: dict[tuple[int, int], str] = {}
-    i = 0
-    while i < len(runs):
-        j = i  # runs with overlapping context are checked together
-        while j + 1 < len(runs) and runs[j + 1][0] - runs[j][1] <= BEFORE:
-            j += 1
-        a, b = max(0, runs[i][0] - BEFORE), min(len(s), runs[j][1] + AFTER)
-        while a > 0 and not s[a - 1].isspace():
-            a -= 1
-        while b < len(s) and not s[b].isspace():
-            b += 1
-        group = runs[i : j + 1]
-        for p, q, k in pii_rules.find_items(s[a:b]):
-            p, q = p + a, q + a
-            if any(tagger.TAGS[t] == k and x < q + 2 and y > p - 2 for x, y, t in group):
-                out[p, q] = k
-        i = j + 1
-    spans, end = sorted(out), 0
-    for x, y, t in sure:
-        at = pii_rules.shape_of(s, x, y, tagger.TAGS[t])
-        k = bisect_left(spans, (at[1],)) if at else 0
-        if at and at[0] >= end and not (k and spans[k - 1][1] > at[0]):
-            out[at] = tagger.TAGS[t]
-            end = at[1]
-    return [(p, q, k) for (p, q), k in sorted(out.items())]
-
-
 def find(texts: list[str | None], w: dict, lead: float = LEAD) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) of the items of each text, in code points."""
+    """(start, end, kind) of the items of each text, in code points; what else is in the list makes no difference."""
     out: list[list] = [[] for _ in texts]
     at = 0
     while at < len(texts):
         parts, size, to = [], 0, at
         while to < len(texts) and (not parts or size < CHARS):  # texts are never cut; a long one is tagged alone
             if texts[to]:
-                s, place = pii_rules.shadow(texts[to])
-                parts.append((to, s, place, size))
-                size += len(s) + 4
+                parts.append((to, *pii_rules.shadow(texts[to])))
+                size += len(texts[to])
             to += 1
         if parts:
-            x = tagger.classes_of("\0\0\0\0".join([p[1] for p in parts]))
-            e = tagger.emissions(x, w)
-            found, plain = (tagger.runs(tagger.best_path(e, w["trans"], v)) for v in (lead, 0.0))
-            k = z = 0
-            for n, s, place, off in parts:
-                mine, sure = [], []
-                while k < len(found) and found[k][0] < off + len(s):
-                    a, b, t = found[k]
-                    mine.append((max(0, a - off), min(len(s), b - off), t))
-                    k += 1
-                while z < len(plain) and plain[z][0] < off + len(s):
-                    a, b, t = plain[z]
-                    sure.append((max(0, a - off), min(len(s), b - off), t))
-                    z += 1
-                if mine or sure:
-                    out[n] = [(int(place[a]), int(place[b - 1]) + 1, kind) if place is not None else (a, b, kind) for a, b, kind in checked(s, mine, sure)]
+            e = tagger.emissions([tagger.classes_of(s) for _, s, _ in parts], w)
+            for (n, s, place), tags in zip(parts, tagger.best_paths(e, w["trans"], lead)):
+                got = pii_rules.items_of(s, [(a, b, tagger.TAGS[t]) for a, b, t in tagger.runs(tags)])
+                out[n] = [(int(place[a]), int(place[b - 1]) + 1, kind) for a, b, kind in got] if place is not None else got
         at = to
     return out
 

@@ -1,7 +1,8 @@
-"""Exact shapes of personal items: labels for training, and the check that follows the tagger.
+"""Shapes of personal items, by which the edges of what the tagger marks are trimmed, and the shadow of a text.
 
 Texts are read through a shadow: the text without inline markup, with a place in the original for every character, so that an
-item is found whatever is emphasised or linked inside it.
+item is found whatever is emphasised or linked inside it. Shapes know no sentences: whether something is an item, and of which
+kind, is the tagger's to say.
 """
 
 from __future__ import annotations
@@ -92,17 +93,16 @@ PHONE = regex.compile(
 _SSN = r"(?:000|666|9\d\d|\d{3})(?:-\d\d-\d{4}|\ \d\d\ \d{4})"
 _LABEL = r"(?:SSN|social\ security\ (?:number|no\.?)|passport(?:\ (?:no\.?|number))?|National\ Insurance\ (?:no\.?|number)|NI\ number|Steuer-?ID(?:nr\.?)?|Steuernummer|Personalausweis(?:nummer|-Nr\.?)?|Ausweis(?:nummer|-Nr\.?)?|Reisepass(?:-Nr\.?|nummer)?|NIR|n°\ INSEE|numéro\ de\ sécurité\ sociale|carte\ d['’]identité(?:\ n°)?|passeport(?:\ n°)?|DNI|NIE|NIF|documento|pasaporte(?:\ n\.?º)?)"
 IDENTITY = regex.compile(
-    rf"""(?<![\w+\-/.\#])(?:(?:{_LABEL})[:\ ]\s?(?P<labelled>[\p{{Lu}}\d](?:[\p{{Lu}}\d]|[\ -](?=[\p{{Lu}}\d]{{1,6}}\b)(?!\p{{Lu}}\p{{L}})){{6,22}})
-    | (?P<bare>{_SSN} | QQ\ ?\d\d\ ?\d\d\ ?\d\d\ ?[A-D] | (?:000|666)\d{{6}} | [12]\ \d\d\ \d\d\ \d[\dAB]\ \d{{3}}\ \d{{3}}\ \d\d | [12]\d\d(?:0[1-9]|1[0-2])\d[\dAB]\d{{8}} | \d{{8}}-?[A-Z] | [XYZ]\d{{7}}-?[A-Z] | [A-Z]\d\d[A-Z]\d\d[A-Z]\d\d | [A-Z]\d{{8}} | \d\d\ \d{{3}}\ \d{{3}}\ \d{{3}} )
+    rf"""(?<![\w+\-/.\#])(?:(?i:{_LABEL})[:\ ]\s?(?P<labelled>[\p{{Lu}}\d](?:[\p{{Lu}}\d]|[\ -](?=[\p{{Lu}}\d]{{1,6}}\b)(?!\p{{Lu}}\p{{L}})){{6,22}})
+    | (?P<bare>(?i:{_SSN} | QQ\ ?\d\d\ ?\d\d\ ?\d\d\ ?[A-D] | (?:000|666)\d{{6}} | [12]\ \d\d\ \d\d\ \d[\dAB]\ \d{{3}}\ \d{{3}}\ \d\d | [12]\d\d(?:0[1-9]|1[0-2])\d[\dAB]\d{{8}} | \d{{8}}-?[A-Z] | [XYZ]\d{{7}}-?[A-Z] | [A-Z]\d\d[A-Z]\d\d[A-Z]\d\d | [A-Z]\d{{8}} | \d\d\ \d{{3}}\ \d{{3}}\ \d{{3}} ))
     )(?![\w]|[.\-/]\d)""",
-    regex.X | regex.I,
+    regex.X,
 )
-_BARE_ID = regex.compile(rf"(?:Payroll still needs|Visitors register with|form lists|Im Bogen steht|Consta|Le dossier porte)\s+(?P<n>9\d{{8}})(?!\d)")
 _CITY = r"\p{Lu}[\p{L}\p{M}]+"
 _STREETS = r"(?:Lane|Ln|Road|Rd|Street|St|Avenue|Ave|Av|Boulevard|Blvd|Court|Ct|Close|Terrace|Ter|Drive|Dr|Place|Pl|Way|Square|Sq|Crescent|Parkway|Row|Walk|Hill|Gardens)"
 ADDRESS = regex.compile(
     rf"""(?<![\w\-/.])(?:
-      (?:(?:Flat|Apt|Apartment|Unit|Suite)\.?\ \#?\d+\p{{L}}?,\ )?\d+\p{{L}}?\ (?:{_W}\ ){{1,3}}{_STREETS}\b\.?(?!\ of\ the\ handbook|\ rollout)
+      (?:(?:Flat|Apt|Apartment|Unit|Suite)\.?\ \#?\d+\p{{L}}?,\ )?\d+\p{{L}}?\ (?:{_W}\ ){{1,3}}{_STREETS}\b(?:\.(?=,|\s+[\p{{Ll}}\d]))?
     | (?:P\.\ ?O\.|PO|Post\ Office)\ ?Box\ \d+
     | \p{{Lu}}[\p{{L}}\p{{M}}-]*(?:allee|straße|strasse|str\.|gasse|weg|platz|ring|damm|ufer|steig|chaussee)\ \d+\ ?\p{{Ll}}?\b
     | (?:\p{{Lu}}[\p{{L}}\p{{M}}]+[\ -])(?:Allee|Straße|Str\.|Gasse|Weg|Platz|Ring)\ \d+\ ?\p{{Ll}}?\b
@@ -111,95 +111,67 @@ ADDRESS = regex.compile(
     )(?:,\ (?:Apt|Apartment|Suite|Unit|Flat)\.?\ \#?\w+|,\ \d+[ºª](?:\ \p{{Lu}}\b)?|\ (?:Vieux|Grand|Petit)\ {_CITY}|,?\ \d{{5}}\ {_CITY}|,\ \p{{Lu}}{{2}}\ \d{{5}}|,?\ \p{{Lu}}{{1,2}}\d{{1,2}}\ \d\p{{Lu}}{{2}}\b|,\ {_CITY}(?![\p{{L}}:'’]))*""",
     regex.X,
 )
-_G = rf"(?P<a>{_FULL})"
-_GIVEN = rf"(?P<a>{_W})"
-#: Sentences around names. {G} is a full name, {1} a given name.
-NAME_FRAMES = [
-    rf"Please\s+reach\s+{_TITLE}{_G}\s+at\s",
-    rf"\bFrom:\s+{_TITLE}{_G}\s*\\?(?:<|&lt;|\()",
-    rf"Assigned\s+to\s+{_TITLE}{_G}\s+\(",
-    rf"Escribe\s+a\s+{_TITLE}{_G}\s+\(",
-    rf"Contacter\s+{_TITLE}{_G}\s+à\s",
-    rf"\bBitte\s+{_TITLE}{_G}\s+unter\s",
-    rf"next\s+to\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
-    rf"(?:Im\s+Bogen\s+steht\s[^\n]{{5,45}}?)\sbei\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
-    rf"(?:Le\s+dossier\s+porte\s[^\n]{{5,60}}?)\spour\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
-    rf"a\s+nombre\s+de\s+{_TITLE}{_G}(?=[.\s<&{{]|$)",
-    rf"signed\s+by\s+{_TITLE}{_G}\s+and\s+{_TITLE}(?P<b>{_FULL})(?=[.\s<&{{]|$)",
-    rf"(?<![\p{{L}},]\ |[\p{{L}}'’-]){_G}\s+(?:said\s+the\s|moved\s+to\s|will\s+\p{{Ll}}+\s+the\s|wohnt\s+jetzt\s+in\s)",
-    rf"(?:Dr|Prof|Mr|Mrs|Ms|Mx)\.\s+{_G}\s+(?:said\s+the\s|moved\s+to\s|will\s+\p{{Ll}}+\s+the\s|wohnt\s+jetzt\s+in\s)",
-    rf"(?:\bThanks,|\bBest,|Grüßen?|Cordialement,|Un\s+saludo,|Atentamente,|\bRegards,)\s+{_TITLE}{_G}(?=\s|$|[<&.{{])",
-    rf"Bien\s+à\s+toi,\s+{_GIVEN}(?=\s|$|[<&{{])",
-    rf"\bHi\s+{_GIVEN},\s",
-    rf"\b(?:Hallo|Hola|Bonjour)\s+{_GIVEN},\s",
-    rf"\bAsk\s+{_GIVEN}\s+to\s",
-    rf"Call\s+back:\s[^\n(]*(?:\([^)\n]*\)[^\n(]*)?\({_GIVEN}\)",
-]
-_FRAMES = [regex.compile(f, regex.M) for f in NAME_FRAMES]
-#: A word of each frame; a text without it needs no search.
-_CUES = ("reach", "From:", "Assigned", "Escribe", "Contacter", "unter", "next", "Bogen", "dossier", "nombre", "signed", ("said", "moved", "will", "wohnt"), ("Dr.", "Prof.", "Mr.", "Mrs.", "Ms.", "Mx."), ("Thanks", "Best", "Grüße", "Cordialement", "saludo", "Atentamente", "Regards"), "toi", "Hi", ("Hallo", "Hola", "Bonjour"), "Ask", "back")
-_CUES = tuple(c if isinstance(c, tuple) else (c,) for c in _CUES)
-
-_LEADS = regex.compile(r"(?:The|Der|Die|Das|El|La|Le|Dr|Mr|Mrs|Prof)\.?\s")
-
-
-def find_items(s: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the items in a shadow text, by start; of overlapping ones of different kinds the more certain stays."""
-    out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
-
-    def add(a: int, b: int, kind: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
-            out.append((a, b, kind))
-
-    if _EMAIL_CUE.search(s):
-        for m in EMAIL.finditer(s):
-            add(m.start(), m.end(), "email")
-    digits = any(c in s for c in "0123456789")
-    if digits:
-        for m in _BARE_ID.finditer(s):
-            add(*m.span("n"), "identity_number")
-        for m in IDENTITY.finditer(s):
-            g = "labelled" if m["labelled"] else "bare"
-            if sum(c.isdigit() for c in m[g]) >= 6:
-                add(*m.span(g), "identity_number")
-        for m in PHONE.finditer(s):
-            if not regex.search(r"(?:Build|commit|Order|Run|Section|Part\ no\.|Raw:|Version|range|Set\s\w+\sto)\s?$", s[max(0, m.start() - 24) : m.start()]):
-                add(m.start(), m.end(), "phone")
-        for m in ADDRESS.finditer(s):
-            if not s[max(0, m.start() - 8) : m.start()].endswith("Section "):
-                add(m.start(), m.end(), "street_address")
-    for f, cues in zip(_FRAMES, _CUES):
-        if any(c in s for c in cues):
-            for m in f.finditer(s, overlapped=True):
-                for g in ("a", "b"):
-                    if g in f.groupindex and m[g] and not _LEADS.match(m[g]):
-                        add(*m.span(g), "name")
-    return sorted(out)
 
 
 _WORD = r"[\p{L}\p{M}\p{N}'’-]"
 _NAME = regex.compile(rf"{_TITLE}(?P<n>(?:{_FULL}|{_W})(?:(?<=\.)|(?!{_WORD})))")
-_NINE = regex.compile(r"(?<![\w+\-/.\#])9\d{8}(?![\w]|[.\-/]\d)")
-_NUMBERED = regex.compile(r"(?:Build|commit|Order|Run|Section|Part\ no\.|Raw:|Version|range|Set\s\w+\sto)\s?$")
-
-
-def shape_of(s: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The name or bare number that a tagged run a:b of a shadow text covers for the most part, whatever stands around it."""
-    if kind == "identity_number":
-        m = _NINE.search(s, max(0, a - 9), b + 9)
-        if m and min(b, m.end()) - max(a, m.start()) > 4 and not _NUMBERED.search(s[max(0, m.start() - 24) : m.start()]):
-            return m.span()
-    if kind != "name":
-        return None
+_INITIAL = regex.compile(rf"(?P<n>{_I}(?:\ {_I})?\ {_W})(?!{_WORD})")
+_LEADS = regex.compile(r"(?:The|Der|Die|Das|El|La|Le|Dr|Mr|Mrs|Prof)\.?\s")
+SHAPES = {"email": EMAIL, "phone": PHONE, "identity_number": IDENTITY, "street_address": ADDRESS}
+#: What an item of a kind is made of at the least, where none of its shapes is met.
+_LOOSE = {
+    "email": regex.compile(r"[^\s<>()\[\]\"',;]+@[^\s<>()\[\]\"',;]*[\p{L}\p{N}]"),
+    "phone": regex.compile(r"[+(]{0,2}\d[\d\s().\-/]{4,}\d"),
+    "identity_number": regex.compile(r"[\p{Lu}\d](?:[\p{Lu}\d .\-/]{3,}[\p{Lu}\d])"),
+    "street_address": regex.compile(r"[\p{Lu}\d](?=[^\n]*\p{L})(?=[^\n]*\d)[^\n]{3,}[\p{L}\d]"),
+}
+#: Characters on either side of a run within which its shape may reach.
+REACH = 80
+
+
+def _span(m: regex.Match) -> tuple[int, int]:
+    for g in ("labelled", "bare"):
+        if g in m.re.groupindex and m[g]:
+            return m.span(g)
+    return m.span()
+
+
+def item_of(s: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The item that a tagged run a:b of a shadow text means: the shape of its kind that it covers most of, else the run itself
+    less what no item begins or ends with. None only where nothing is left."""
+    if kind == "name":
+        return _name_of(s, a, b)
+    best, most = None, 0
+    lo = max(0, a - REACH)
+    for m in SHAPES[kind].finditer(s, lo, min(len(s), b + REACH)):
+        p, q = _span(m)
+        over = min(b, q) - max(a, p)
+        if over > most:
+            best, most = (p, q), over
+        if p >= b:
+            break
+    if best and 2 * most >= min(b - a, best[1] - best[0]):
+        return best
+    m = _LOOSE[kind].search(s, a, b)
+    if m and kind != "email":
+        p, q = m.span()
+        while q < len(s) and s[q].isalnum() and q < b + 8:  # a run that ends inside a word means the word
+            q += 1
+        return p, q
+    return m.span() if m else None
+
+
+def _name_of(s: str, a: int, b: int) -> tuple[int, int] | None:
     while a > 0 and regex.match(_WORD, s[a - 1]):  # a run that begins inside a word means the word
         a -= 1
     while a < b:
-        m = _NAME.match(s, a)
+        m = _INITIAL.match(s, a) or _NAME.match(s, a)  # an initial may look like a title
         if m and not _LEADS.match(m["n"]):
             p, q = m.span("n")
-            return (p, q) if 2 * (min(b, q) - p) >= q - p else None
+            if 2 * (min(b, q) - p) >= q - p:
+                return p, q
+            m = regex.compile(_W).match(s, p)  # no more than the word that the run covers
+            return m.span() if m else None
         while a < b and regex.match(_WORD, s[a]):
             a += 1
         while a < b and not regex.match(_WORD, s[a]):
@@ -207,7 +179,11 @@ def shape_of(s: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return None
 
 
-def annotate(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in the text itself."""
-    s, at = shadow(text)
-    return [(int(at[a]), int(at[b - 1]) + 1, k) if at is not None else (a, b, k) for a, b, k in find_items(s)]
+def items_of(s: str, runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the items that runs (start, end, kind) of a shadow text mean, none over another."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in runs:
+        at = item_of(s, a, b, kind)
+        if at and (not out or at[0] >= out[-1][1]):
+            out.append((*at, kind))
+    return out

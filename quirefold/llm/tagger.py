@@ -19,6 +19,10 @@ WINDOW, STRIDE = 256, 224
 #: Classes beyond those of printable ASCII.
 _NL, _SPACE, _UPPER, _LOWER, _DIGIT, _OTHER, _GAP = range(95, 102)
 CLASSES = 102
+#: Gaps before and behind a text.
+EDGE = 4
+#: Characters around a hot one that the decoder looks at.
+JOIN = 16
 #: Windows of one step; bounds the memory to some tens of MB.
 ROWS = 1024
 
@@ -51,19 +55,24 @@ def classes_of(s: str) -> np.ndarray:
 
 
 def windows_of(n: int) -> np.ndarray:
-    """Where the windows of a stream of n characters begin; the last one may reach beyond it."""
+    """Where the windows of a stream of n characters begin; each but the first begins where the one before has STRIDE to spare."""
     return np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
-def _direction(x: np.ndarray, w: dict, d: str, emit: np.ndarray) -> None:
-    """Adds one direction's emissions of windows x (T, N) to emit (T, N, K)."""
+def _direction(x: np.ndarray, live: np.ndarray, w: dict, d: str, emit: np.ndarray) -> None:
+    """Adds one direction's emissions of windows x (T, N) to emit (T, N, K). Windows are sorted longest first: at step t the first
+    live[t] of them have a character left, so no window's result depends on the others' lengths."""
     e, u, out = w[f"E{d}"], w[f"U{d}"], w[f"O{d}"]
     hid = u.shape[0]
     n = x.shape[1]
     h, c = np.zeros((n, hid), np.float32), np.zeros((n, hid), np.float32)
     g, r = np.empty((n, 4 * hid), np.float32), np.empty((n, 4 * hid), np.float32)
-    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-        np.take(e, x[t], axis=0, out=g)
+    m = n
+    for t in range(len(x)):
+        if live[t] != m:
+            m = int(live[t])
+            h, c, g, r = h[:m], c[:m], g[:m], r[:m]
+        np.take(e, x[t, :m], axis=0, out=g)
         np.dot(h, u, out=r)
         g += r
         np.tanh(g, out=g)  # gates are sigmoids by way of tanh: their weights are halved in advance
@@ -74,7 +83,7 @@ def _direction(x: np.ndarray, w: dict, d: str, emit: np.ndarray) -> None:
         c += s[:, hid : 2 * hid] * g[:, 3 * hid :]
         np.tanh(c, out=h)
         h *= s[:, 2 * hid :]
-        emit[t] += h @ out
+        emit[t, :m] += h @ out
 
 
 def halved(w: dict) -> dict:
@@ -89,28 +98,47 @@ def halved(w: dict) -> dict:
     return w
 
 
-def emissions(x: np.ndarray, w: dict) -> np.ndarray:
-    """(n, K) of a stream of classes."""
-    n = len(x)
-    starts = windows_of(n)
-    padded = np.full(int(starts[-1]) + WINDOW, _GAP, np.uint8)
-    padded[:n] = x
-    out = np.empty((len(padded), K), np.float32)
+def emissions(texts: list[np.ndarray], w: dict) -> list[np.ndarray]:
+    """(n, K) of each of several streams of classes. A window lies in one stream, with EDGE gaps before and behind the stream as in
+    training; a character's emissions come from the window in which it lies further inside."""
+    gap = np.full(EDGE, _GAP, np.uint8)
+    size = np.array([len(x) + 2 * EDGE for x in texts], np.int64)
+    flat = np.concatenate([z for x in texts for z in (gap, x, gap)]) if texts else np.zeros(0, np.uint8)
+    base = np.cumsum(size) - size
+    first = [windows_of(int(n)) for n in size]
+    starts = np.concatenate([b + f for b, f in zip(base, first)]) if texts else np.zeros(0, np.int64)
+    ends = np.concatenate([np.minimum(f + WINDOW, n) + b for b, f, n in zip(base, first, size)]) if texts else starts
+    length = ends - starts
+    order = np.argsort(-length, kind="stable")
+    out = np.empty((len(flat), K), np.float32)
     half = (WINDOW - STRIDE) // 2
-    for at in range(0, len(starts), ROWS):
-        s = starts[at : at + ROWS]
-        cut = padded[s[None, :] + np.arange(WINDOW)[:, None]]
-        emit = np.zeros((WINDOW, len(s), K), np.float32)
-        emit += w["b"]
-        _direction(cut, w, "f", emit)
-        _direction(cut, w, "b", emit)
-        body = emit[half : half + STRIDE].transpose(1, 0, 2).reshape(-1, K)
-        out[s[0] + half : s[0] + half + len(body)] = body
-        if s[0] == 0:
-            out[:half] = emit[:half, 0]
-        if at + ROWS >= len(starts):
-            out[s[-1] + half + STRIDE :] = emit[half + STRIDE :, -1]
-    return out[:n]
+    opens = np.isin(starts, base)
+    closes = np.isin(ends, base + size)
+    for at in range(0, len(order), ROWS):
+        o = order[at : at + ROWS]
+        n, T = length[o], int(length[o[0]])
+        step = np.arange(T)[:, None]
+        live = (n[None, :] > step).sum(1)
+        inside = np.minimum(step, n[None, :] - 1)
+        emit = np.zeros((T, len(o), K), np.float32)
+        _direction(flat[starts[o][None, :] + inside], live, w, "f", emit)
+        back = np.zeros((T, len(o), K), np.float32)
+        _direction(flat[ends[o][None, :] - 1 - inside], live, w, "b", back)
+        # of each window the part that no other holds further inside
+        lo, hi = np.where(opens[o], 0, half), np.where(closes[o], n, half + STRIDE)
+        rows = np.repeat(np.arange(len(o)), hi - lo)
+        col = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        out[starts[o][rows] + col] = emit[col, rows] + back[n[rows] - 1 - col, rows] + w["b"]
+    return [out[b + EDGE : b + n - EDGE] for b, n in zip(base, size)]
+
+
+def best_paths(each: list[np.ndarray], trans: np.ndarray, lead: float = 0.0) -> list[np.ndarray]:
+    """best_path of several streams at once; between them lies more nothing than a stretch reaches over."""
+    apart = np.full((2 * JOIN + 2, K), -1e6, np.float32)
+    apart[:, 0] = 0
+    tags = best_path(np.concatenate([z for e in each for z in (e, apart)]) if each else np.zeros((0, K), np.float32), trans, lead)
+    ends = np.cumsum([len(e) + len(apart) for e in each])
+    return [tags[z - len(e) - len(apart) : z - len(apart)] for e, z in zip(each, ends)]
 
 
 def best_path(e: np.ndarray, trans: np.ndarray, lead: float = 0.0) -> np.ndarray:
@@ -125,11 +153,10 @@ def best_path(e: np.ndarray, trans: np.ndarray, lead: float = 0.0) -> np.ndarray
     tags = np.zeros(len(e), np.int8)
     if not hot.any():
         return tags
-    # stretches: hot characters with less than `join` between them, widened by as much
-    join = 16
+    # stretches: hot characters with less than twice JOIN between them, widened by as much
     at = np.flatnonzero(hot)
-    cuts = np.flatnonzero(np.diff(at) > 2 * join)
-    first, last = np.maximum(at[np.concatenate([[0], cuts + 1])] - join, 0), np.minimum(at[np.concatenate([cuts, [len(at) - 1]])] + join + 1, len(e))
+    cuts = np.flatnonzero(np.diff(at) > 2 * JOIN)
+    first, last = np.maximum(at[np.concatenate([[0], cuts + 1])] - JOIN, 0), np.minimum(at[np.concatenate([cuts, [len(at) - 1]])] + JOIN + 1, len(e))
     size = last - first
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]

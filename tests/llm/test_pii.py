@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import pii, pii_rules, pii_train, tagger
+from quirefold.llm import pii, pii_labels, pii_rules, pii_train, tagger
 
 CASES = [
     ("Please reach Ludmilka Lefébure at yorick+scan (at) example dot org before noon.", [("name", "Ludmilka"), ("email", "yorick+scan")]),
@@ -37,7 +37,7 @@ def test_found_by_the_tagger_and_checked(text, want):
 def test_every_email_that_the_shape_takes_is_searched(email):
     s = f"Questions go to {email}, please."
     assert pii_rules.EMAIL.search(s)[0] == email
-    assert [(s[a:b], k) for a, b, k in pii_rules.annotate(s)] == [(email, "email")]
+    assert [(s[a:b], k) for a, b, k in pii_labels.annotate(s)] == [(email, "email")]
     assert pii_rules.shadow("\\emph{at} {\\it at}")[0] == "at at"
 
 
@@ -80,7 +80,7 @@ def test_held_out_recall(spark):
     import duckdb
 
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
-    want = [{(a, k) for a, _, k in pii_rules.annotate(t)} for t in texts]
+    want = [{(a, k) for a, _, k in pii_labels.annotate(t)} for t in texts]
     got = [{(a, k) for a, _, k in x} for x in pii.find(texts, pii.weights())]
     hit, n, m = sum(len(w & g) for w, g in zip(want, got)), sum(map(len, want)), sum(map(len, got))
     assert n > 500 and hit / n > 0.99 and hit / m > 0.99
@@ -106,10 +106,45 @@ def test_windows_agree_with_one_pass():
     w = pii.weights()
     t = ("Please reach Kelda Torsk at k@example.org before noon. " * 40)[:2100]
     x = tagger.classes_of(t)
-    a = tagger.emissions(x, w)
-    emit = np.zeros((len(x), 1, tagger.K), np.float32) + w["b"]
-    tagger._direction(x[:, None], w, "f", emit), tagger._direction(x[:, None], w, "b", emit)
-    assert (tagger.best_path(a, w["trans"]) == tagger.best_path(emit[:, 0], w["trans"])).mean() > 0.995
+    a = tagger.emissions([x], w)[0]
+    z = np.concatenate([np.full(tagger.EDGE, tagger._GAP, np.uint8), x, np.full(tagger.EDGE, tagger._GAP, np.uint8)])
+    live = np.ones(len(z), int)
+    one, back = np.zeros((len(z), 1, tagger.K), np.float32) + w["b"], np.zeros((len(z), 1, tagger.K), np.float32)
+    tagger._direction(z[:, None], live, w, "f", one), tagger._direction(z[::-1, None], live, w, "b", back)
+    whole = (one[:, 0] + back[::-1, 0])[tagger.EDGE : -tagger.EDGE]
+    assert (tagger.best_path(a, w["trans"]) == tagger.best_path(whole, w["trans"])).mean() > 0.995
+
+
+def test_neighbours_make_no_difference():
+    """A text has the same items alone and among any others, in any order, whatever they hold."""
+    r = np.random.default_rng(3)
+    w = pii.weights()
+    some = [c for c, _ in CASES] + [c.format("Maria Lopez") for c in UNSEEN] + ["Ask Anna to call 212-555-0100.", "Best,\nPeter Lopez", "x", " ", "A", "John"]
+    noise = ["Nobody noticed that the index had become missing. " * 30, "x" * 3000, "\n" * 500, "a b " * 700, "12345678901234567890" * 20]
+    alone = {t: pii.find([t], w)[0] for t in some}
+    for _ in range(4):
+        mixed = [str(t) for t in r.permutation([*some, *noise, *some[:9]])]
+        assert [g for t, g in zip(mixed, pii.find(mixed, w)) if t in alone] == [alone[t] for t in mixed if t in alone]
+
+
+def test_same_rows_under_any_partitioning(spark):
+    rows = [(k, t) for k, t in enumerate([c for c, _ in CASES] * 3 + ["Nobody noticed. " * 40, "y" * 900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, pii.find_pii(df.coalesce(1)).collect()))
+    assert len(want) > 60
+    for n in (2, 7):
+        assert sorted(map(tuple, pii.find_pii(df.repartition(n, "doc_id")).collect())) == want
+
+
+def test_edges_are_trimmed_to_shapes():
+    at = lambda s, run, kind: (lambda x: s[x[0] : x[1]] if x else None)(pii_rules.item_of(s, s.index(run), s.index(run) + len(run), kind))
+    assert at("I live at 12 Oak Street. Come by", "12 Oak Street. ", "street_address") == "12 Oak Street"
+    assert at("Her SSN is 123-45-6789.", " is 123-45-6789", "identity_number") == "123-45-6789"
+    assert at("mail a.b@example.org, please", "b@example.or", "email") == "a.b@example.org"
+    assert at("call +39 06 698 12345 now", " +39 06 698 12345 ", "phone") == "+39 06 698 12345"  # no shape of its own: the run itself
+    assert at("in Via Roma 12 now", " Via Roma 1", "street_address") == "Via Roma 12"
+    assert at("met Maria Lopez", "aria Lope", "name") == "Maria Lopez" and at("by Dr. Anna Weber", "Dr. Anna Weber", "name") == "Anna Weber"
+    assert at("cold words here", "cold words", "name") is None  # nothing that a name begins with is left
 
 
 def test_training_learns():
