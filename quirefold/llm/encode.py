@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from quirefold.llm import lexicon
 from quirefold.session import share_file
 
-#: Where the vocabulary files of public tokenizers lie; on a cluster, the same path on every machine.
+#: Where the vocabulary files of public tokenizers lie on the driver; executors fetch what they need.
 TOKENIZERS = os.environ.get("QUIREFOLD_TOKENIZERS", "/opt/tokenizers")
+VOCABULARY = "byte_bpe_50k"
 #: Fixed value: how the byte-level vocabulary of 50k cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most words in the lexicon, whatever the corpus: some megabytes on the driver and in the mapped file.
@@ -36,7 +37,7 @@ CACHE = 400_000
 
 
 @lru_cache(4)
-def merger(tokenizers: str, name: str = "byte_bpe_50k"):
+def merger(tokenizers: str, name: str = VOCABULARY):
     """The exact encoder of the vocabulary, built once a process."""
     import tiktoken
 
@@ -74,6 +75,7 @@ def build_lexicon(texts: DataFrame, tokenizers: str = TOKENIZERS, max_words: int
     spark = texts.sparkSession
     top = count_words(texts).where((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()
     enc = merger(tokenizers)
+    spark.sparkContext.addFile(f"{tokenizers}/{VOCABULARY}.tiktoken")
     words = {bytes(r["word"]): enc.encode_ordinary(bytes(r["word"]).decode()) for r in top}
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
     with tempfile.TemporaryDirectory() as d:
@@ -144,7 +146,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     name = build_lexicon(docs.select("text"), tokenizers, max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(_mapped(name), tokenizers)
+        e = Encoder(_mapped(name), SparkFiles.getRootDirectory())
         for b in batches:
             for part in pieces(b):
                 ids, n = e.encode(part.column(1).to_pylist())
@@ -170,7 +172,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     name = build_lexicon(docs.select("text"), tokenizers, max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(_mapped(name), tokenizers)
+        e = Encoder(_mapped(name), SparkFiles.getRootDirectory())
         for b in batches:
             for part in pieces(b):
                 _, n = e.encode(part.column(1).to_pylist())

@@ -90,3 +90,41 @@ def test_items_are_whole_or_longer_than_a_container(spark):
     assert pack.pack_items(df.limit(0)).count() == 0
     rep = pack.fill_report(spark.createDataFrame(got, pack.PACKED)).collect()
     assert sum(r["n_tokens"] for r in rep) == total
+
+
+def test_windows_are_of_four_sizes_and_full():
+    """Plain best fit has windows of one size only. Every tier is packed into its own, all are full, long gaps hold short items."""
+    r = random.Random(2)
+    size = np.array([min(2048, 1 + int(r.lognormvariate(5.3, 0.9))) for _ in range(9000)])
+    w, tier, container = pack.pack_windows(size)
+    fill = np.bincount(w, size)
+    assert len(fill) == len(tier) == len(container) and (fill <= tier).all() and fill.sum() == size.sum()
+    for t in (256, 512, 1024, 2048):
+        assert (tier == t).sum() > 20 and fill[tier == t].sum() / tier[tier == t].sum() > 0.99
+    total = np.bincount(container, tier)
+    assert total.max() == 2048 and (total < 2048).sum() <= 1  # windows make up whole containers
+    assert size.sum() / (2048 * len(total)) > 0.99
+    for t in (512, 1024):  # an item of the tier, and shorter ones in its gap
+        own = [(x > t // 2).sum() for x in (size[w == k] for k in np.flatnonzero(tier == t)[:200])]
+        assert set(own) == {1}
+    assert all(len(x) == 0 for x in pack.pack_windows(np.zeros(0, np.int64)))
+
+
+def test_windows_of_odd_sizes():
+    """Tiers and a capacity that are no multiples of each other: nothing is lost, no window and no container overflows."""
+    r = random.Random(8)
+    for capacity, tiers in ((1000, (300, 450)), (7, ()), (100, (99,))):
+        size = np.array([r.randrange(1, capacity + 1) for _ in range(400)])
+        w, tier, container = pack.pack_windows(size, capacity, tiers)
+        assert (np.bincount(w, size) <= tier).all() and np.bincount(container, tier).max() <= capacity and len(w) == 400
+
+
+def test_step_groups_are_of_one_tier(spark):
+    df = spark.createDataFrame([(k, 1 + (k * 37) % 900) for k in range(3000)], "key long, n_tokens long")
+    got = pack.pack_items(df).collect()
+    longest, steps = {}, {}
+    for x in got:
+        longest[x["container_id"]] = max(longest.get(x["container_id"], 0), x["tier"])
+        steps.setdefault(x["step_group"], set()).add(x["container_id"])
+    assert all(len({longest[c] for c in cs}) == 1 and len(cs) <= pack.GROUP for cs in steps.values())
+    assert len({x["tier"] for x in got}) > 2 and {x["n_tokens"] <= x["tier"] for x in got} == {True}
