@@ -32,7 +32,7 @@ _OPAQUE = re.compile(
     r"|\\begin\{(verbatim|lstlisting|minted|Verbatim)\}.*?\\end\{\2\}|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<nowiki>.*?</nowiki>",
     re.I,
 )
-_TEX = re.compile(r"\\(?:(?:sub)*section\*?\s*[{\[]|(?:sub)?paragraph\*?\{|chapter\*?\{|begin\{|item\b|emph\{|textbf\{|textit\{|texttt\{|underline\{|href\{|cite\{|documentclass\b|usepackage\b)|\{\\(?:it|bf|em|tt)\s|^[ \t]*\\\[|\\\][ \t]*$", re.M)
+_TEX = re.compile(r"\\(?:(?:sub)*section\*?\s*[{\[]|(?:sub)?paragraph\*?\{|chapter\*?\{|begin\{|(?<![\w:.\\]\\)item\b|emph\{|textbf\{|textit\{|texttt\{|underline\{|href\{|cite\{|documentclass\b|usepackage\b)|\{\\(?:it|bf|em|tt)\s|^[ \t]*\\\[|\\\][ \t]*$", re.M)
 #: Words between double underscores that wikis read as switches.
 _SWITCHES = r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOGALLERY|HIDDENCAT|INDEX|NOINDEX|NOTITLECONVERT|NOCONTENTCONVERT|DISAMBIG|STATICREDIRECT)__"
 _WIKI = re.compile(r"^(={1,6})[^=\n].*?\1[ \t]*(?:<!--.*)?$|''+(?=\S)[^'\n]+?''|\[\[[^\]\n]+\]\]|^\{\||^\{\{[^{}\n]+\}\}|\{\{citation|<syntaxhighlight\b|<math\b|" + _SWITCHES + r"|<nowiki>|(?<![\]\w!])\[https?://[^\s\]]+ [^\]\n]+\]|<ref\b", re.M)
@@ -42,15 +42,32 @@ _PRE = re.compile(r"<(pre|script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _MD = re.compile(r"^ {0,3}#{1,6}[ \t]|^[^\n|]*\S[^\n]*\n {0,3}(?:-{2,}|={2,})[ \t]*$|^ {0,3}(?:```|~~~)|\]\(|\]\[|\*\*\w|(?<!\w)__\w|~~\w|^\$\$|^ {0,3}[-+*] +\S|^ {0,3}\d{1,9}[.)] +\S|^\|[-:| ]+\|$|`[^`\n]+`|(?<![\w*])\*\w[^*\n]*\*(?!\w)", re.M)
 
 
+#: Marks that also occur by chance: in paths and formulas of other languages, and as double brackets.
+_TEX_WEAK = re.compile(r"\\(?:item\b|emph\{|textbf\{|textit\{|texttt\{|underline\{|href\{|cite\{)|\{\\(?:it|bf|em|tt)\s|[ \t]*\\\[|\\\][ \t]*$")
+_WIKI_WEAK = re.compile(r"\[\[[^\]\n]+\]\]")
+#: Marks of Markdown that no wiki and no LaTeX has.
+_MD_OWN = re.compile(r"^ {0,3}(?:- +\S|\d{1,9}[.)] +\S|```|~~~)|\]\(|\*\*\w|^\|[-:| ]+\|$|`[^`\n]+`|^[^\n|=]*\S[^\n]*\n {0,3}(?:-{2,}|={2,})[ \t]*$|^ {0,3}#{1,6}[ \t]+\S[^\n]*\n(?=\s*\n)", re.M)
+
+
+def _outweighs(marks: re.Pattern, weak: re.Pattern, u: str) -> bool:
+    """Whether a language's marks outweigh Markdown's own; chance marks alone must be more than these."""
+    got = [weak.fullmatch(m[0]) is None for m in marks.finditer(u)]
+    if not got:
+        return False
+    own = sum(1 for _ in _MD_OWN.finditer(u))
+    return 3 * sum(got) + len(got) - sum(got) > own if not any(got) else 3 * sum(got) + len(got) - sum(got) >= own
+
+
 def language(text: str) -> str:
-    """html, markdown, wiki or latex. Marks inside code, comments and scripts say nothing. Commands of LaTeX and marks of wikis
-    occur in no other language; HTML's blocks also stand in Markdown; a text without marks is Markdown of plain paragraphs."""
+    """html, markdown, wiki or latex. Marks inside code, comments and scripts say nothing. The marks of each language are counted,
+    those that stand in no other threefold; a text is LaTeX or wiki text unless Markdown's own marks outweigh it. HTML's blocks also
+    stand in Markdown; a text without marks is Markdown of plain paragraphs."""
     if not ("\\" in text or "<" in text or "[" in text or "=" in text or "#" in text or "\n" in text or "*" in text or "$" in text or "'" in text or "`" in text or "{" in text):
         return "markdown"
     u = _OPAQUE.sub("\n", text)
-    if _TEX.search(u) or re.search(r"\\begin\{(?:verbatim|lstlisting|minted|document)\}", text):
+    if re.search(r"\\begin\{(?:verbatim|lstlisting|minted|document)\}", text) or _outweighs(_TEX, _TEX_WEAK, u):
         return "latex"
-    if _WIKI.search(u) or re.search(r"<syntaxhighlight\b|<nowiki>", text):
+    if re.search(r"<syntaxhighlight\b|<nowiki>", text) or _outweighs(_WIKI, _WIKI_WEAK, u):
         return "wiki"
     if not _HTML.search(text):
         return "markdown"
@@ -348,13 +365,16 @@ def parse_markdown(text: str) -> list[Block]:
             continue
         if not para and s.startswith("[^") and re.match(r"\[\^[^\]]+\]:", s):
             s = re.sub(r"^\[\^[^\]]+\]:\s*", "", s)
-        if s.startswith(">"):
-            s = s.lstrip("> ")
-            if m := _ATX.match(s):
-                flush()
-                out.append(Block("heading", len(m[1]), inline_md(m[2] or ""), f"blockquote/h{len(m[1])}"))
+        if s.startswith(">"):  # a quote is a document of its own
+            flush()
+            quoted = []
+            while i < n and lines[i].lstrip().startswith(">"):
+                q = lines[i].lstrip()[1:]
+                quoted.append(q[1:] if q.startswith(" ") else q)
                 i += 1
-                continue
+            out += [x._replace(path=f"blockquote/{x.path}") for x in parse_markdown("\n".join(quoted))]
+            blank = False
+            continue
         if "$$" in s and (m := re.search(r"(?<!\\)\$\$(.+?)\$\$", s)) and not re.search(r"`[^`]*\$\$", s):
             para.append(s[: m.start()])
             flush()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import clean
+from quirefold.llm import clean, markup
 from quirefold.llm import markup as M
 
 
@@ -180,3 +180,79 @@ def test_site_style_tree_prunes_what_pages_share(spark):
     nodes, _ = clean.style_tree(feats)
     n = {(r["host"], r["path"]): r["importance"] for r in nodes.where("leaf").collect()}
     assert n["blog", "markdown/ul/li"] < 0.05 < 0.4 < n["blog", "markdown/h1"]
+
+
+def test_a_branch_that_only_its_presentation_shares_goes_whole(spark):
+    """The footer's date and visitor number are on one page each; they go with the branch. The article stays."""
+    page = "<html><body><article><h1>Page {k}</h1><p>Words {k} and {k}{k}.</p></article><footer><ul><li>Home</li><li>About</li><li>Imprint</li><li>Terms</li><li>Contact</li><li>Jobs</li><li>visit {k} of today</li></ul></footer></body></html>"
+    rows = [(k, page.format(k=1000 + k * 7), "site") for k in range(30)] + [(500, "<html><body><footer><ul><li>alone</li></ul></footer></body></html>", "single"), (501, None, "site")]
+    docs = spark.createDataFrame(rows, "doc_id long, content_text string, source string")
+    got = {r["doc_id"]: r for r in clean.prune_sites(docs).collect()}
+    assert len(got) == len(rows) and got[500]["n_removed"] == 0 and got[501]["clean_text"] is None
+    for k in range(30):
+        assert got[k]["n_blocks"] == 9 and got[k]["n_removed"] == 7
+        assert "visit" not in got[k]["clean_text"] and "Home" not in got[k]["clean_text"] and f"Words {1000 + k * 7}" in got[k]["clean_text"]
+    nodes, _ = clean.style_tree(clean._features(docs.selectExpr("doc_id AS key", "source AS host", "content_text AS text")))
+    n = {(r["host"], r["path"]): r["importance"] for r in nodes.where("NOT leaf").collect()}
+    assert n["site", "html/html/body/footer"] < 0.2 < n["site", "html/html/body/article"]
+    # nothing goes by branches alone if none may be low
+    kept = clean.prune_sites(docs, branch_threshold=0.0).where("doc_id = 3").head()
+    assert kept["n_removed"] == 6 and "visit" in kept["clean_text"]
+
+
+def composite(tree, path, leaf):
+    """The recursion of the definition, in plain Python: tree is {(path, leaf): (styles, own importance)}."""
+    styles, own = tree[path, leaf]
+    if leaf:
+        return own
+    g = clean.GAMMA**styles
+    kids = [x for x in tree if x[0].rpartition("/")[0] == path]
+    return (1 - g) * own + g * sum(composite(tree, *x) for x in kids) / len(kids)
+
+
+def test_composite_importance_is_that_of_the_recursion(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    r = random.Random(4)
+    feats = []
+    for k in range(25):
+        paths = r.sample(["m/a/b", "m/a/b/c", "m/a/d", "m/e", "m/a/d/f/g"], 3)
+        feats += {(k, "h", p, True, r.randrange(6)) for p in paths for _ in range(2)}
+        feats += [(k, "h", u, False, r.randrange(3)) for u in {"/".join(p.split("/")[:i]) for p in paths for i in range(1, len(p.split("/")))}]
+    feats = list(dict.fromkeys(feats))
+    nodes, _ = clean.style_tree(spark.createDataFrame(feats, "key long, host string, path string, leaf boolean, h long"))
+    got = {(x["path"], x["leaf"]): x["importance"] for x in nodes.collect()}
+    by = defaultdict(list)
+    for k, _, p, leaf, h in feats:
+        by[p, leaf].append((k, h))
+    tree = {}
+    for (p, leaf), rows in by.items():
+        m, n = len({k for k, _ in rows}), Counter(h for _, h in rows)
+        if leaf:
+            imp = {h: max(0.0, 1 - (math.log(c) / math.log(m) if m > 1 else 0)) for h, c in n.items()}
+            tree[p, leaf] = (len(n), sum(c * imp[h] for h, c in n.items()) / sum(n.values()))
+        else:
+            tree[p, leaf] = (len(n), max(0.0, -sum(c / m * math.log(c / m) for c in n.values()) / math.log(m)) if m > 1 else 1.0)
+    assert got.keys() == tree.keys()
+    for x in got:
+        assert abs(got[x] - composite(tree, *x)) < 1e-9, x
+
+
+def kinds(text):
+    lang, blocks = M.parse(text)
+    return lang, [(b.kind, M.first_word(b.text)) for b in blocks if b.kind in clean.KINDS]
+
+
+def test_one_chance_mark_does_not_settle_the_language():
+    assert kinds("See [[x]] in docs\n\n# Title\n\n- item\n") == ("markdown", [("heading", "title"), ("list_item", "item")])
+    assert kinds("# Setup\n\nLook in C:\\item first.\n\n- one\n- two\n") == ("markdown", [("heading", "setup"), ("list_item", "one"), ("list_item", "two")])
+    assert kinds("Use \\emph{x} in TeX.\n\n# Title\n\n1. a\n2. b\n")[0] == "markdown"
+    assert kinds("== Top ==\n\n# first\n# second [[x]]\n")[0] == "wiki" and kinds("Only [[links]] here.")[0] == "wiki"
+    assert kinds("\\section{One}\n\n\\begin{itemize}\n\\item a\n\\end{itemize}\n") == ("latex", [("heading", "one"), ("list_item", "a")])
+
+
+def test_quotes_hold_blocks():
+    assert kinds("> - item\n> - two\n>\n> # Head\n>\n> ```\n> code here\n> ```\n\nafter\n") == ("markdown", [("list_item", "item"), ("list_item", "two"), ("heading", "head"), ("code", "code")])
+    assert kinds("> > ## Deep\n> text\n") == ("markdown", [("heading", "deep")])
