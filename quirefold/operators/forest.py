@@ -1,8 +1,8 @@
 """Parent-child links to full hierarchies (problem 7).
 
-Method: tree contraction. A round rakes the leaves (every node without children goes) and then compresses unary chains (nodes
-with a single child left are bypassed where their random priority beats those of child and parent, so no two neighbours go at
-once). What goes is recorded with the link it had; rounds are logarithmic in the number of nodes, not in the depth. A core that
+Method: tree contraction. A round compresses unary chains (nodes with a single child are bypassed where their random priority
+beats those of child and parent, so no two neighbours go at once) and rakes the leaves (every node without children goes). What
+goes is recorded with the link it had; rounds are logarithmic in the number of nodes, not in the depth. A core that
 neither rakes nor compresses away is a set of loops, which compression shortens to self-loops: rounds end when no link is left.
 The records are then undone in reverse order, which recovers root, depth, state and path. Every round is written once, so lineage
 never grows.
@@ -39,27 +39,24 @@ def _priority(c: Column, k: int) -> Column:
 
 
 def _contract(edges: DataFrame, k: int, paths: bool) -> DataFrame:
-    """One round, written: links by tag: `rake` and `compress` are gone (the latter with the child they had), `rest` stays."""
+    """One round, written: the links that stay (tag `rest`) and those of the leaves (`rake`). Where a link skips a bypassed node, it
+    carries that node (v) with the weight of the link below it (cw)."""
     none = F.array().cast("array<string>")
-    kids = edges.groupBy("parent").agg(F.count("*").alias("kids")).select(F.col("parent").alias("node"), "kids")
-    a = edges.join(kids, "node", "left")
-    inner = a.where("kids IS NOT NULL").drop("kids")
     child = F.struct(*[c for c in edges.columns if c != "parent"])
-    # of what raking leaves: single children, whose parent is bypassed if its priority is the highest of the three
-    single = inner.groupBy("parent").agg(F.count("*").alias("kids"), F.first(child).alias("c")).where("kids = 1").select(F.col("parent").alias("node"), "c")
+    kids = edges.groupBy("parent").agg(F.count("*").alias("kids"), F.first(child).alias("c")).select(F.col("parent").alias("node"), "kids", "c")
     mine = _priority(F.col("node"), k)
-    v = inner.join(single, "node", "left").withColumn("goes", F.col("c").isNotNull() & (mine > _priority(F.col("c.node"), k)) & (mine > _priority(F.col("parent"), k)))
-    skipped = v.where("goes").select(
-        F.col("c.node").alias("node"), F.col("parent").alias("_p"), F.col("w").alias("_w"), F.least("node", "low").alias("_low"),
+    goes = (F.col("kids") == 1) & (mine > _priority(F.col("c.node"), k)) & (mine > _priority(F.col("parent"), k))
+    a = edges.join(kids, "node", "left").withColumn("goes", F.coalesce(goes, F.lit(False)))
+    skipped = a.where("goes").select(
+        F.col("c.node").alias("node"), F.col("parent").alias("_p"), F.col("w").alias("_w"), F.least("node", "low").alias("_low"), F.col("node").alias("v"),
         *([F.concat(F.coalesce("seg", none), F.array("node")).alias("_seg")] if paths else []),
     )
-    rest = v.where("NOT goes").drop("c", "goes").join(skipped, "node", "left").select(
-        F.lit("rest").alias("tag"), "node", F.coalesce("_p", "parent").alias("parent"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.least("low", "_low").alias("low"),
+    kept = a.where("NOT goes").drop("c", "goes").join(skipped, "node", "left").select(
+        F.when(F.col("kids").isNull(), "rake").otherwise("rest").alias("tag"), "node", F.coalesce("_p", "parent").alias("parent"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.least("low", "_low").alias("low"),
         *([F.when(F.col("_p").isNull(), F.col("seg")).otherwise(F.concat("_seg", F.coalesce("seg", none))).alias("seg")] if paths else []),
+        "v", F.when(F.col("v").isNotNull(), F.col("w")).alias("cw"), *([F.coalesce(F.size("seg"), F.lit(0)).alias("clen")] if paths else []),
     )
-    raked = a.where("kids IS NULL").drop("kids").withColumn("tag", F.lit("rake"))
-    gone = v.where("goes").select(F.lit("compress").alias("tag"), "node", F.col("c.node").alias("child"), F.col("c.w").alias("cw"), *([F.col("c.seg").alias("cseg")] if paths else []))
-    return cut(rest.unionByName(raked).unionByName(gone, allowMissingColumns=True), "round")
+    return cut(kept, "round")
 
 
 def resolve(links: DataFrame, paths: bool = False, hot: float = HOT) -> DataFrame:
@@ -68,7 +65,7 @@ def resolve(links: DataFrame, paths: bool = False, hot: float = HOT) -> DataFram
     A null parent makes a node its own root; a parent that is no node is a root outside. Links to oneself are loops of one.
     An empty table gives no rows. path runs from the root, or from the node on the loop, to the node itself.
     """
-    path_col = ["path"] if paths else []
+    spark = links.sparkSession
     nil = F.lit(None)
     base = cut(links.select("node", "parent"), "links")
     edges = base.where("parent IS NOT NULL").select("node", "parent", F.lit(1).alias("w"), nil.cast("string").alias("low"), *([nil.cast("array<string>").alias("seg")] if paths else []))
@@ -91,32 +88,40 @@ def resolve(links: DataFrame, paths: bool = False, hot: float = HOT) -> DataFram
         rounds.append(_contract(edges, k, paths))
         edges = rounds[-1].where("tag = 'rest'").select(*edges.columns)
     done = cut(done, "done")
-    written = [done]
-    for r in reversed(rounds):
-        c = done.select(F.col("node").alias("child"), "root_id", "depth", "state", *path_col)
-        on = F.col("state") == "cycle"
-        chained = r.where("tag = 'compress'").select("node", "child", "cw", *(["cseg"] if paths else [])).join(c, "child").select(
-            "node", "root_id", F.when(on, 0).otherwise(F.col("depth") - F.col("cw")).alias("depth"), "state",
-            *([F.when(on, F.array("node")).otherwise(F.slice("path", F.lit(1), F.size("path") - F.coalesce(F.size("cseg"), F.lit(0)) - 1)).alias("path")] if paths else []),
-        )
-        done = done.unionByName(chained)
-        p = done.select(F.col("node").alias("parent"), "root_id", "depth", "state", *path_col)
-        leaves = r.where("tag = 'rake'").select("node", "parent", "w", *(["seg"] if paths else []))
-        met = leaves.join(p, "parent")
-        if hot_parents:
-            is_hot = F.col("parent").isin(hot_parents)
-            met = leaves.where(~is_hot).join(p, "parent").unionByName(leaves.where(is_hot).join(F.broadcast(p.where(is_hot)), "parent"))
-        raked = met.select(
-            "node", "root_id", (F.col("depth") + F.col("w")).alias("depth"), F.when(F.col("state").isin("tree", "outside"), "tree").otherwise("below_cycle").alias("state"),
-            *([F.concat("path", F.coalesce("seg", F.array().cast("array<string>")), F.array("node")).alias("path")] if paths else []),
-        )
-        done = cut(done.unionByName(raked), "done")
-        drop_cut(written.pop()), drop_cut(r)
-        written.append(done)
+    schema, written = done.schema, [done._written_at]
     drop_cut(base), drop_cut(parents)
+    for r in reversed(rounds):
+        new = cut(_undo(r, done, hot_parents, paths), "done")
+        drop_cut(r)
+        written.append(new._written_at)
+        done = spark.read.schema(schema).parquet(*written)
     return done.where("state <> 'outside'")
 
 
+def _undo(r: DataFrame, done: DataFrame, hot_parents: list[str], paths: bool) -> DataFrame:
+    """What a round took away, from what is done: leaves from their parents, with the node that their link skipped; skipped nodes
+    from the child that stayed."""
+    rake = F.col("tag") == "rake"
+    gone = r.where(rake | F.col("v").isNotNull()).withColumn("key", F.when(rake, F.col("parent")).otherwise(F.col("node"))).drop("low", "parent")
+    at = done.select(F.col("node").alias("key"), "root_id", "depth", "state", *(["path"] if paths else []))
+    met = gone.join(at, "key")
+    if hot_parents:
+        is_hot = F.col("key").isin(hot_parents)
+        met = gone.where(~is_hot).join(at, "key").unionByName(gone.where(is_hot).join(F.broadcast(at.where(is_hot)), "key"))
+    below = F.when(F.col("state").isin("tree", "outside"), "tree").otherwise("below_cycle")
+    on = F.col("state") == "cycle"
+
+    def row(node, depth, state, path) -> Column:
+        return F.struct(node.alias("node"), F.col("root_id"), depth.cast("int").alias("depth"), state.alias("state"), *([path.alias("path")] if paths else []))
+
+    seg, n = (F.coalesce("seg", F.array().cast("array<string>")), F.col("clen")) if paths else (None, None)
+    leaf = row(F.col("node"), F.col("depth") + F.col("w"), below, F.concat("path", seg, F.array("node")) if paths else None)
+    over_leaf = row(F.col("v"), F.col("depth") + F.col("w") - F.col("cw"), below, F.concat("path", F.slice(seg, F.lit(1), F.greatest(F.size(seg) - n, F.lit(0)))) if paths else None)
+    over_rest = row(F.col("v"), F.when(on, 0).otherwise(F.col("depth") - F.col("cw")), F.col("state"), F.when(on, F.array("v")).otherwise(F.slice("path", F.lit(1), F.greatest(F.size("path") - n - 1, F.lit(0)))) if paths else None)
+    rows = F.when(rake & F.col("v").isNull(), F.array(leaf)).when(rake, F.array(leaf, over_leaf)).otherwise(F.array(over_rest))
+    return met.select(F.inline(rows))
+
+
 def find_threads(comments: DataFrame) -> DataFrame:
     """(comment_id, root_id, depth, state) of every comment, by its counted row: see resolve and links_of."""
     r = resolve(links_of(comments))
