@@ -110,6 +110,12 @@ def run(argv: list[str], spark=None) -> object:
             return {k: v for k, v in s.explain(a.name).items() if k != "plan"}
 
 
+def show(out: object, fmt: str) -> None:
+    """Print a result as YAML or JSON."""
+    plain = json.loads(json.dumps(out, default=str))
+    print(json.dumps(plain, indent=2, ensure_ascii=False) if fmt == "json" else yamlite.dump(plain), end="\n" if fmt == "json" else "")
+
+
 def main() -> int:
     args = sys.argv[1:]
     try:
@@ -117,8 +123,7 @@ def main() -> int:
     except QuirefoldError as e:
         print(f"ERROR:{e}", file=sys.stderr)
         return 1
-    as_json = parser().parse_args(args).format == "json"
-    print(json.dumps(out, indent=2, ensure_ascii=False, default=str) if as_json else yamlite.dump(json.loads(json.dumps(out, default=str))), end="\n" if as_json else "")
+    show(out, parser().parse_args(args).format)
     return 0
 
 

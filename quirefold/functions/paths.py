@@ -261,6 +261,15 @@ def route(path: str, bases: dict[str, str]) -> str | None:
     return None
 
 
+def route_column(path: Column, bases: dict[str, str]) -> Column:
+    """route as a column."""
+    path = F.translate(path, "\\", "/")
+    out = F.lit(None).cast("string")
+    for name, base in sorted(bases.items(), key=lambda x: (-len(x[1]), x[0]), reverse=True):
+        out = F.when(path.startswith(base + "/") if base else F.lit(True), name).otherwise(out)
+    return out
+
+
 def singular(s: str) -> str:
     for end, to in (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("zes", "z"), ("ves", "f")):
         if s.endswith(end) and len(s) > len(end):

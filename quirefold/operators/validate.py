@@ -18,6 +18,11 @@ def with_defaults(c: Collection, data: dict) -> dict:
     return data | {n: f.default for n, f in c.fields.items() if f.has_default and data.get(n) is None}
 
 
+def default_columns(c: Collection) -> dict[str, object]:
+    """with_defaults as columns of typed tables: a column for each field that has a default."""
+    return {n: F.coalesce(F.col(n), F.lit(f.default)) for n, f in c.fields.items() if f.has_default}
+
+
 def _problem(s: Schema, f: Field, v: object, at: str) -> list[str]:
     if f.type in ("string", "date", "datetime"):
         if not isinstance(v, str):

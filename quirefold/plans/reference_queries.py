@@ -180,11 +180,7 @@ def singular_names(spark, d):
 @query("SELECT doc_id, CASE WHEN path LIKE 'messages/%' THEN 'messages' WHEN path LIKE 'tasks/done/%' THEN 'done' WHEN path LIKE 'tasks/%' THEN 'tasks' ELSE 'notes' END AS owner FROM documents")
 def path_routing(spark, d):
     bases = {"messages": "messages", "tasks": "tasks", "done": "tasks/done", "notes": ""}
-    c = None
-    for n, b in sorted(bases.items(), key=lambda x: -len(x[1])):
-        hit = F.col("path").startswith(b + "/") if b else F.lit(True)
-        c = F.when(hit, n) if c is None else c.when(hit, n)
-    return t(spark, d, "documents").select("doc_id", c.alias("owner"))
+    return t(spark, d, "documents").select("doc_id", paths.route_column(F.col("path"), bases).alias("owner"))
 
 
 # -- defaults, validation -----------------------------------------------------------------------------------------------------
@@ -192,7 +188,8 @@ def path_routing(spark, d):
 
 @query("SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(source, 'unknown') AS source FROM documents")
 def default_fill(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    c = Collection("documents", "d/{id}.md", {"lang": Field("lang", "string", default="und", has_default=True), "source": Field("source", "string", default="unknown", has_default=True)})
+    return t(spark, d, "documents").select("doc_id", *[x.alias(n) for n, x in validate.default_columns(c).items()])
 
 
 _EVENTS = Collection("events", "events/{id}.md", {"event_type": Field("event_type", "string", required=True, enum=["click", "view"]), "value": Field("value", "number")})
@@ -340,21 +337,6 @@ def directory_hash(spark, d):
     return merge.directory_hash(e, "collection", "path", "mtime_nanos")
 
 
-@query("SELECT event_id FROM events WHERE NOT (user_id % 2 = 0 AND event_type = 'click')")
-def echo_suppression(spark, d):
-    """Events that a ledger of own writes does not explain."""
-    e = t(spark, d, "events").select("event_id", "user_id", "event_type")
-    ledger = e.where("user_id % 2 = 0 AND event_type = 'click'").select("user_id", "event_type").distinct()
-    return e.join(ledger, ["user_id", "event_type"], "left_anti").select("event_id")
-
-
-@query("SELECT collection, id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM deleted_records x WHERE x.collection = d.collection AND x.id = d.id) AND collection = 'tasks'")
-def stale_remove_guard(spark, d):
-    """Rows stay unless the removal names the very row: key and collection together."""
-    docs = t(spark, d, "documents").where("collection = 'tasks'").select("collection", "id")
-    return merge.delete(docs, t(spark, d, "deleted_records"), ["collection", "id"])
-
-
 @query("SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n, arg_max(event_type, (ts, event_id)) AS event_type FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, s")
 def debounce_sessions(spark, d):
     return merge.debounce(t(spark, d, "events"), "user_id", "ts", "event_id", "event_type", "6 hours").drop("end")

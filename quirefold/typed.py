@@ -9,7 +9,7 @@ import re
 from typing import Any
 
 from quirefold.functions.paths import singular
-from quirefold.schema import Collection, Field, Schema
+from quirefold.schema import IMPLICIT, Collection, Field, Schema
 
 
 def class_name(s: str) -> str:
@@ -39,11 +39,16 @@ def _attr(name: str) -> str:
     return name + "_" if keyword.iskeyword(name) else name
 
 
+def _declared(c: Collection) -> list[Field]:
+    """The fields that are no implicit columns: a declared id is the document's own."""
+    return [f for f in c.fields.values() if f.name not in IMPLICIT and not (c.content and f.name == "content")]
+
+
 def record(s: Schema, c: Collection, partial: bool = False) -> type:
     """A dataclass of a collection's documents: required and defaulted fields first, then optional ones; lists are never None.
     A partial record has every field optional."""
     need, rest = [], []
-    for f in c.fields.values():
+    for f in _declared(c):
         if partial:
             rest.append((_attr(f.name), Any, None))
         elif f.type == "list":
@@ -81,13 +86,13 @@ class TypedCollection:
 
     def _record(self, d: dict):
         own = {k: d.get(k) for k in ("id", "created_at", "modified_at", *(["content"] if self.c.content else []))}
-        missing = [f.name for f in self.c.fields.values() if f.required and not f.has_default and d.get(f.name) is None]
+        missing = [f.name for f in _declared(self.c) if f.required and not f.has_default and d.get(f.name) is None]
         if missing:
             raise ValueError(f"{d.get('id')}: no {', '.join(missing)}")
-        return self.type(**{_attr(f.name): self._in(f, d.get(f.name, f.default)) for f in self.c.fields.values()}, **own)
+        return self.type(**{_attr(f.name): self._in(f, d.get(f.name, f.default)) for f in _declared(self.c)}, **own)
 
     def _data(self, r) -> dict:
-        return {f.name: self._out(v) for f in self.c.fields.values() if (v := getattr(r, _attr(f.name))) is not None}
+        return {f.name: self._out(v) for f in self.c.fields.values() if (v := getattr(r, _attr(f.name), None)) is not None}
 
     def get(self, ident: str):
         return self._record(self.store.get(self.c.name, ident))

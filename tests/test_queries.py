@@ -10,12 +10,12 @@ import duckdb
 import pytest
 
 from quirefold.operators import merge
-from quirefold.plans import general_queries, migrate, reference_queries
+from quirefold.plans import general_queries, migrate, reference_queries, store_queries
 from quirefold.schema import parse_schema
 
 D = "/root/testdata/sf0.001"
-QUERIES = reference_queries.queries() | general_queries.queries()
-SQL = reference_queries.oracle_sql() | general_queries.oracle_sql()
+QUERIES = reference_queries.queries() | store_queries.queries() | general_queries.queries()
+SQL = reference_queries.oracle_sql() | store_queries.oracle_sql() | general_queries.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 
