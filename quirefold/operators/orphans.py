@@ -2,7 +2,7 @@
 
 Method: tagged parent keys, deletions and child keys are united in long form and grouped by key space and key with map-side
 combining, so that a key that holds a third of all rows arrives as one partial row a task; groups that have no sound parent
-are kept, and only the children that name one of these (told by a bounded bit filter) come back, over a salted join. Counts a table and period are sums
+are kept, and only the children that name one of these (told by a bounded bit filter) come back, over a join that splits hot keys by their counts. Counts a table and period are sums
 over that result.
 """
 
@@ -17,8 +17,10 @@ from quirefold.functions.text import norm_key
 from quirefold.operators.keyfilter import key_filter
 from quirefold.session import cut
 
-#: Copies of each unsound key in the join with its children: a key named by a third of all rows is met by this many tasks.
-SALTS = 8
+#: Children of one unsound key that one task meets; a key named by more is met by as many tasks as it takes.
+TASK_ROWS = 1_000_000
+#: Most keys that are split so, or the number of shuffle partitions if that is more: none of the others is large against a task.
+HOT_KEYS = 1000
 
 
 def counted_rows(df: DataFrame, **refs: Column) -> DataFrame:
@@ -34,7 +36,7 @@ def counted_rows(df: DataFrame, **refs: Column) -> DataFrame:
     )
 
 
-def find_orphans(users: DataFrame, posts: DataFrame, comments: DataFrame, deleted: DataFrame, salts: int = SALTS) -> DataFrame:
+def find_orphans(users: DataFrame, posts: DataFrame, comments: DataFrame, deleted: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """(table_name, record_id, field, period, status), one row per counted row of posts and comments and per reference that
     is `missing`, `deleted` or `late`.
 
@@ -85,7 +87,7 @@ def find_orphans(users: DataFrame, posts: DataFrame, comments: DataFrame, delete
     tags = ("users", "posts", "comments")
     of = lambda t, c: F.when(F.col("tag") == t, F.col(c))
     # first_at is null for deletions; a row whose arrival is null still is a row
-    aggs = [F.min("named_at").alias("named_at"), F.max(F.col("tag") == "ref").alias("referred")]
+    aggs = [F.min("named_at").alias("named_at"), F.count_if(F.col("tag") == "ref").alias("children")]
     for t in tags:
         aggs += [
             F.max((F.col("tag") == t) & F.col("deleted_at").isNull()).alias(f"{t}_has"),
@@ -93,7 +95,7 @@ def find_orphans(users: DataFrame, posts: DataFrame, comments: DataFrame, delete
             F.min(of(t, "first_at")).alias(f"{t}_first"),
             F.max(of(t, "deleted_at")).alias(f"{t}_gone"),
         ]
-    groups = long.groupBy("space", "key").agg(*aggs).where("referred")
+    groups = long.groupBy("space", "key").agg(*aggs).where("children > 0")
 
     def status(t: str, own: Column) -> Column:
         has, gone = F.col(f"{t}_has"), F.col(f"{t}_gone")
@@ -111,8 +113,15 @@ def find_orphans(users: DataFrame, posts: DataFrame, comments: DataFrame, delete
     )
     unsound = cut(unsound, "unsound")
     named = key_filter(unsound, ["space", "key"])
-    salted = unsound.select("space", F.col("key").alias("ref"), *[f"{t}_{x}" for t in tags for x in ("has", "created", "first", "gone")], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = children.where(named(F.col("space"), F.col("ref"))).withColumn("salt", F.pmod(F.xxhash64("table_name", "record_id", "field"), F.lit(salts)).cast("int")).join(salted, ["space", "ref", "salt"])
+    # as many parts of a key as its children fill tasks; the keys that have more than one are few by the choice of a part's size
+    total = unsound.agg(F.sum("children")).head()[0] or 0
+    part = max(task_rows, -(-total // max(HOT_KEYS, int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    parts = F.ceil(F.col("children") / part).cast("int")
+    hot = unsound.where(F.col("children") > part).select("space", F.col("key").alias("ref"), parts.alias("parts"))
+    salted = unsound.select("space", F.col("key").alias("ref"), *[f"{t}_{x}" for t in tags for x in ("has", "created", "first", "gone")], F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("salt"))
+    named_ones = children.where(named(F.col("space"), F.col("ref"))).join(F.broadcast(hot), ["space", "ref"], "left")
+    salt = F.pmod(F.xxhash64("table_name", "record_id", "field"), F.coalesce("parts", F.lit(1))).cast("int")
+    met = named_ones.withColumn("salt", salt).drop("parts").join(salted, ["space", "ref", "salt"])
     own = F.col("own_at")
     code = (
         F.when(F.col("want") == "users", status("users", own))

@@ -92,6 +92,16 @@ def test_consolidate(spark):
     assert consolidate.consolidate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("task_rows", [7, 10**6])
+def test_a_user_with_most_posts_is_split_by_counts(spark, task_rows):
+    """Half of all posts name one user that is missing, the others name users that are there or missing once."""
+    users = [(f"u{k}", at(0), at(0), at(0)) for k in range(0, 60, 2)]
+    posts = [(f"p{k}", "hot" if k % 2 else f"u{k}", at(1), at(1), at(1), None, None, None) for k in range(120)]
+    got = orphans.find_orphans(*people(spark, users, posts), task_rows=task_rows).collect()
+    want = {(f"p{k}", "missing") for k in range(120) if k % 2 or k >= 60}
+    assert {(r["record_id"], r["status"]) for r in got} == want and len(got) == len(want)
+
+
 def test_one_path_fills_many_ranges(spark):
     df = spark.range(500).select(F.col("id").alias("entry_id"), F.lit("a").alias("collection"), F.lit("same.md").alias("path"), (F.col("id") % 7).alias("mtime_nanos"), F.lit(1).cast("long").alias("size_bytes"))
     out = consolidate.consolidate(df)
