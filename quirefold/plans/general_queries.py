@@ -121,11 +121,17 @@ walk(k, here, n, path) AS (
   SELECT k, k, 0, [k] FROM c
   UNION ALL SELECT w.k, c.p, w.n + 1, list_append(w.path, c.p) FROM walk w JOIN c ON c.k = w.here WHERE c.p IS NOT NULL AND NOT list_contains(w.path[:-2], w.here)),
 ends AS (SELECT k, arg_max(here, n) AS here, max(n) AS n, arg_max(path, n) AS path FROM walk GROUP BY k)
+"""
+_THREAD_ROWS = """
 SELECT k AS comment_id, CASE WHEN list_contains(path[:-2], here) THEN list_min(path[list_position(path, here):]) ELSE here END AS root_id,
   CAST(CASE WHEN list_contains(path[:-2], here) THEN list_position(path, here) - 1 ELSE n END AS INTEGER) AS depth,
   CASE WHEN NOT list_contains(path[:-2], here) THEN 'tree' WHEN list_position(path, here) = 1 THEN 'cycle' ELSE 'below_cycle' END AS state
 FROM ends
 """
+#: Each comment's path from itself up to its root, or to where it meets a loop.
+_UP = _THREADS + """
+, up AS (SELECT k, CASE WHEN NOT list_contains(path[:-2], here) THEN path ELSE path[:list_position(path, here)] END AS up FROM ends)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -137,5 +143,7 @@ def oracle_sql() -> dict[str, str]:
         + f"""SELECT r.entry_id, CASE WHEN d.at IS NULL THEN 'added' ELSE 'changed' END AS change FROM ranked r
         LEFT JOIN (SELECT collection, {_place("path")} AS place, max(epoch_us(modified_at)) AS at FROM documents WHERE indexed_run IN (SELECT run_id FROM scan_runs WHERE lower(trim(status)) = 'ok' AND finished_at IS NOT NULL) GROUP BY 1, 2) d
         ON d.collection = r.collection AND d.place = r.place WHERE r.n = 1 AND (d.at IS NULL OR d.at <> r.mtime_nanos // 1000)""",
-        "p7_found": _THREADS,
+        "p7_found": _THREADS + _THREAD_ROWS,
+        "p7_paths": f"SELECT t.*, p.full_path FROM ({_THREADS}{_THREAD_ROWS}) t JOIN ({_UP} SELECT k, array_to_string(list_reverse(up), '/') AS full_path FROM up) p ON p.k = t.comment_id",
+        "p7_descendants": _UP + "SELECT up[i] AS ancestor, k AS descendant, CAST(i - 1 AS INTEGER) AS distance FROM (SELECT k, up, unnest(range(2, len(up) + 1)) AS i FROM up)",
     }

@@ -31,9 +31,11 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "qui
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset and the session is local, a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):  # a folder of the driver is none of the executors
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quirefold-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
