@@ -155,3 +155,14 @@ def test_sources_of_columns(port):
     assert port._fresh().sources("trips_by_boat") == [("boat_name", "boats", "name"), ("length", "boats", "length"), ("n", None, None)]
     assert port.views.sources("of_berth") == [("who", "boats", "name"), ("loud", None, None)]
     assert port.views.sources("fleet") == [("id", "boats", "id"), ("name", "boats", "name")]
+
+
+def test_views_outlive_snapshots_and_scans(port):
+    """A view that was built and not yet read when its snapshot went, and one that a scan has made stale."""
+    port._fresh().rebuild("long_boats")
+    for _ in range(3):
+        port.full_scan()
+    assert [r[0] for r in port.view("long_boats").collect()] == ["Auk"]
+    put(port, "boats/south-pier/skua.md", "---\nname: Skua\nberth: South Pier\nlength: 30\n---\n")
+    port.incremental_scan()
+    assert sorted(r[0] for r in port.view("long_boats").collect()) == ["Auk", "Skua"]
