@@ -9,6 +9,7 @@ import pytest
 from quirefold import cli
 from quirefold import errors as E
 from quirefold.engine import Store
+from quirefold.operators import validate as V
 from quirefold.streaming.feed import Echoes
 
 SCHEMA = """
@@ -96,6 +97,18 @@ def test_one_lookup_for_a_batch_of_events(port, monkeypatch):
     assert got == [("boats", "auk", "updated"), ("boats", "tern", "updated")] and len(scans) == 1
 
 
+def test_a_batch_of_events_is_seen_whole(port, monkeypatch):
+    """Who reads the index while events are taken in meets neither half of them nor a log that grows under the reader."""
+    paths = [f"boats/south-pier/{n}.md" for n in ("skua", "gull", "smew")]
+    for p in paths:
+        put(port, p, "---\nname: New\nberth: South Pier\n---\n")
+    seen, prepare, reader = [], V.prepare, iter(port.index.log.items())
+    next(reader)
+    monkeypatch.setattr(V, "prepare", lambda *a: seen.append(len(port.index.log)) or prepare(*a))
+    assert len(port.apply_events([(p, "created") for p in paths])) == 3
+    assert seen == [2, 2, 2] and len(list(reader)) == 1 and len(port.index.log) == 5
+
+
 def test_writes_leave_views_until_they_are_read(port):
     port.view("long_boats"), port.flush()
     built = dict(port.views.built)
