@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables, and the four of the store's that have none against plain Python."""
 
+import contextlib
 import hashlib
 import json
 import math
@@ -9,6 +10,8 @@ from datetime import datetime
 import duckdb
 import pytest
 
+from quirefold.engine import Index
+from quirefold.errors import DocumentNotFound
 from quirefold.operators import merge
 from quirefold.plans import general_queries, migrate, reference_queries, store_queries
 from quirefold.schema import parse_schema
@@ -67,6 +70,16 @@ def test_backfill(spark):
     assert migrate.backfill(df, new, []) is df
 
 
+@pytest.mark.parametrize("name", ["store_batch_rolls_back", "store_delete"])
+def test_a_batch_looks_its_documents_up_at_once(spark, monkeypatch, name):
+    """No document of a batch costs a scan of its own."""
+    alone, get = [], Index.get
+    monkeypatch.setattr(Index, "get", lambda self, c, i: alone.append(i) if (c, i) not in self.log and (c, i) not in self.seen else get(self, c, i))
+    with contextlib.suppress(DocumentNotFound):
+        QUERIES[name](spark, D)
+    assert alone == []
+
+
 def test_store_queries_without_sql(spark):
     h = QUERIES["schema_history_diff"](spark, D).collect()
     assert {"field_added", "field_removed", "field_type_changed"} <= {r["kind"] for r in h}
