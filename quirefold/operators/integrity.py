@@ -31,6 +31,15 @@ def references(s: Schema) -> list[tuple[str, str, list[str], str]]:
     return out
 
 
+def referrers(s: Schema, name: str) -> set[str]:
+    """The collections whose references lead to a collection, at once or by way of others: what a deletion can concern."""
+    out, front = set(), {name}
+    while front:
+        front = {c for c, _, targets, _ in references(s) if front & set(targets)} - out
+        out |= front
+    return out
+
+
 def _keys(df: DataFrame, name: str, shape: str, targets: list[str]) -> DataFrame:
     """(id, target, ref) of the references in one field."""
     if shape == "poly":
