@@ -125,7 +125,8 @@ LISTERS = 16
 
 
 def list_files(root: str, base: str, ext: str) -> list[tuple[str, int, int, int]]:
-    """(path below root, mtime, birth or mtime, size) of the files below a base directory, by path; times in nanoseconds."""
+    """(path below root, mtime, birth or mtime, size) of the files below a base directory, by path; times in nanoseconds. Names
+    that begin with a dot are left aside, and the store's own directories, which begin with _ and lie in root itself."""
     out, level = [], [os.path.join(root, base)]
     with ThreadPoolExecutor(LISTERS) as pool:  # directories of one depth are read side by side
         while level:
@@ -138,13 +139,15 @@ def list_files(root: str, base: str, ext: str) -> list[tuple[str, int, int, int]
 def _entries(d: str, root: str, ext: str) -> tuple[list[tuple[str, int, int, int]], list[str]]:
     """(files, directories) in a directory; one that is gone has none."""
     files, dirs = [], []
+    top = os.path.normpath(d) == os.path.normpath(root)
     try:
         with os.scandir(d) as it:
             for e in it:
-                if e.name.startswith((".", "_")):
+                if e.name.startswith("."):
                     continue
                 if e.is_dir(follow_symlinks=False):
-                    dirs.append(e.path)
+                    if not (top and e.name.startswith("_")):
+                        dirs.append(e.path)
                 elif e.name.endswith("." + ext):
                     try:
                         st = e.stat()

@@ -179,3 +179,26 @@ def test_views_outlive_snapshots_and_scans(port):
     put(port, "boats/south-pier/skua.md", "---\nname: Skua\nberth: South Pier\nlength: 30\n---\n")
     port.incremental_scan()
     assert sorted(r[0] for r in port.view("long_boats").collect()) == ["Auk", "Skua"]
+
+
+def test_a_full_scan_leaves_nothing_out(port, monkeypatch):
+    """Files that can't be read are told, keep their rows and are tried again; what changes during the scan is news to the next;
+    names may begin with _."""
+    put(port, "boats/north-pier/auk.md", '---\nname: "Auk\n---\n')
+    put(port, "boats/north-pier/torn.md", "---\n- a list\n---\n")
+    put(port, "boats/north-pier/_own.md", "---\nname: Own\n---\n")
+    put(port, "_archive/boats/gone.md", "---\nname: Gone\n---\n")
+    replace = port.index.replace
+    monkeypatch.setattr(port.index, "replace", lambda df: (replace(df), put(port, "boats/north-pier/tern.md", "---\nname: Tern\nlength: 9\n---\n")))
+    port.full_scan()
+    monkeypatch.undo()
+    assert [(c, p) for c, p, _ in port.unread] == [("boats", "boats/north-pier/auk.md"), ("boats", "boats/north-pier/torn.md")]
+    assert sorted(r["id"] for r in port.collection("boats").collect()) == ["_own", "auk", "tern"] and port.get("boats", "auk")["length"] == 12
+    put(port, "boats/north-pier/torn.md", "---\nname: Torn\n---\n")
+    assert port.incremental_scan() == {"boats": {"removed": 0, "read": 3}} and len(port.unread) == 1
+    assert sorted(r["id"] for r in port.collection("boats").collect()) == ["_own", "auk", "tern", "torn"]
+    assert port.get("boats", "tern")["length"] == 9 and port.get("boats", "auk")["length"] == 12
+    put(port, "boats/north-pier/auk.md", "---\nname: Auk\nlength: 13\n---\n")
+    port.rebuild("boats")
+    assert port.get("boats", "auk")["length"] == 13 and port.unread == [] and port.incremental_scan() == {}
+    assert not [d for d in os.listdir(port.index.dir) if d.startswith("scan-")]

@@ -10,7 +10,7 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from quirefold.engine import Index
+from quirefold.engine import Index, Store
 from quirefold.errors import DocumentNotFound
 from quirefold.operators import merge
 from quirefold.plans import general_queries, migrate, reference_queries, store_queries
@@ -80,6 +80,17 @@ def test_a_batch_looks_its_documents_up_at_once(spark, monkeypatch, name):
     assert alone == []
 
 
+def test_an_index_that_is_not_rolled_back_is_found(spark, monkeypatch):
+    """The scan that follows does not cover up what the index held, and the batch deletes too."""
+    gone, stage = [], Store._stage
+    monkeypatch.setattr(Store, "_stage", lambda self, row: (gone.append(row["id"]) if row["gone"] else None, stage(self, row)))
+    QUERIES["store_batch_rolls_back"](spark, D)
+    assert gone
+    monkeypatch.setattr(Index, "log", Index.log.setter(lambda self, log: None))
+    with pytest.raises(AssertionError):
+        QUERIES["store_batch_rolls_back"](spark, D)
+
+
 def test_store_queries_without_sql(spark):
     h = QUERIES["schema_history_diff"](spark, D).collect()
     assert {"field_added", "field_removed", "field_type_changed"} <= {r["kind"] for r in h}
