@@ -33,13 +33,14 @@ _MARKUP = regex.compile(
 def shadow(text: str) -> tuple[str, np.ndarray | None]:
     """The text without inline markup, and each of its characters' place in the text; None if nothing was taken out."""
     parts: list[str] = []
-    spans: list[tuple[int, int]] = []  # of the original
+    begin, size = [], []  # of pieces of the original, one for each of the characters that stand for something else
     at = 0
     for m in _MARKUP.finditer(text):
-        kind = m.lastgroup
-        if m.start() > at:
-            parts.append(text[at : m.start()])
-            spans.append((at, m.start()))
+        kind, (a, b) = m.lastgroup, m.span()
+        if a > at:
+            parts.append(text[at:a])
+            begin.append(at)
+            size.append(a - at)
         put = ""
         if kind == "line":
             put = "\n"
@@ -49,15 +50,18 @@ def shadow(text: str) -> tuple[str, np.ndarray | None]:
             put = "<" if kind == "less" else ">"
         if put:
             parts.append(put)
-            spans.append((m.start(), -len(put)))
-        at = m.end()
+            begin += [a] * len(put)
+            size += [1] * len(put)
+        at = b
     if not parts and not at:
         return text, None
     if at < len(text):
         parts.append(text[at:])
-        spans.append((at, len(text)))
-    place = [np.arange(a, b) if b >= 0 else np.full(-b, a) for a, b in spans]
-    return "".join(parts), np.concatenate([*place, [len(text)]]) if place else np.array([len(text)])
+        begin.append(at)
+        size.append(len(text) - at)
+    n = np.array([*size, 1])
+    ends = np.cumsum(n)
+    return "".join(parts), np.arange(ends[-1]) + np.repeat(np.array([*begin, len(text)]) - ends + n, n)
 
 
 # -- shapes -------------------------------------------------------------------------------------------------------------------
